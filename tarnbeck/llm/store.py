@@ -27,7 +27,7 @@ class Store:
         self.spark, self.path = spark, f"{shared_dir(spark)}/tarnbeck/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def put(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def put(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         self.count += 1
         path = f"{self.path}/{self.count:03d}-{name}"
         df.write.option("compression", codec).parquet(path)
