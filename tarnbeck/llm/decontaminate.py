@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnbeck.llm.text import Hasher, grams, pieces, spans
+from tarnbeck.llm.text import Hasher, grams, keep_rows, pieces, spans
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -163,45 +163,63 @@ def item_groups(benchmark: DataFrame, id_column: str, spec: Leak) -> Iterator[It
         yield Items.of(ids, texts, spec)
 
 
+def confirmed(items: Items, hashes: np.ndarray, first: np.ndarray, spec: Leak) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, share of the item's own score) of the passages that reach the least score, the best of each row and item."""
+    row, item, begin, end = passages(items, hashes, first, spec)
+    if not len(row):
+        return row, item, np.zeros(0)
+    size = np.array([len(items.words[k]) for k in item])
+    share = align([hashes[a:b] for a, b in zip(begin, end, strict=True)], [items.words[k] for k in item], spec) / (spec.match * size)
+    ok = np.flatnonzero(share >= spec.score)
+    ok = ok[np.lexsort((-share[ok], item[ok], row[ok]))]
+    new = np.ones(len(ok), bool)
+    new[1:] = (row[ok][1:] != row[ok][:-1]) | (item[ok][1:] != item[ok][:-1])
+    ok = ok[new]
+    return row[ok], item[ok], share[ok]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_id", spec: Leak | None = None) -> DataFrame:
     """doc_id, item_id, score (alignment with the item as a share of the item's own score) and n_words (the item's) of every document and item whose score reaches the least.
 
     A document that holds an item several times has its best score once. Null and empty texts hold
-    nothing, items without words are never found, repeated rows each have their own result rows.
+    nothing, items without words are never found, repeated rows and null doc_ids each have their own
+    result rows, and an empty table on either side gives none.
     """
     spec = spec or Leak()
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema[id_column].dataType.simpleString()
-    schema = f"doc_id {kind}, {id_column} {item_kind}, score double, n_words long"
+    schema = f"doc_id {kind}, `{id_column}` {item_kind}, score double, n_words long"
     out = None
     for items in item_groups(benchmark, id_column, spec):
-        sent = spark.sparkContext.broadcast(items)
+        sent = docs.sparkSession.sparkContext.broadcast(items)  # about GROUP_WORDS words
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             known = sent.value
             item_type = pa.array(known.ids).type
             for batch in batches:
                 for lo, _, hashes, first in word_hashes(batch.column(1)):
-                    row, item, begin, end = passages(known, hashes, first, spec)
-                    if not len(row):
-                        continue
-                    size = np.array([len(known.words[k]) for k in item])
-                    share = align([hashes[a:b] for a, b in zip(begin, end, strict=True)], [known.words[k] for k in item], spec) / (spec.match * size)
-                    ok = np.flatnonzero(share >= spec.score)
-                    ok = ok[np.lexsort((-share[ok], item[ok], row[ok]))]
-                    ok = ok[np.append(True, (row[ok][1:] != row[ok][:-1]) | (item[ok][1:] != item[ok][:-1]))] if len(ok) else ok
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(lo + row[ok])), pa.array([known.ids[k] for k in item[ok]], item_type), pa.array(share[ok]), pa.array(size[ok])],
-                        names=["doc_id", id_column, "score", "n_words"],
-                    )
+                    row, item, share = confirmed(known, hashes, first, spec)
+                    if len(row):
+                        ids = pa.array([known.ids[k] for k in item], item_type)
+                        size = pa.array([len(known.words[k]) for k in item], pa.int64())
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + row)), ids, pa.array(share), size], names=["doc_id", id_column, "score", "n_words"])
 
         part = docs.select("doc_id", "text").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.select("doc_id", F.lit(None).cast(item_kind).alias(id_column), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_words")).limit(0)
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_id", spec: Leak | None = None) -> DataFrame:
-    """The documents, with all their columns, that hold no test item. Documents without doc_id are kept; rows of one doc_id go together."""
-    leaks = find_leaks(docs, benchmark, id_column, spec).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaks, F.col("doc_id") == F.col("_leaked"), "left_anti")
+    """The documents, with all their columns, that hold no test item."""
+    spec = spec or Leak()
+    for items in item_groups(benchmark, id_column, spec):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
+        def keep(texts: pa.Array, sent=sent) -> Iterator[tuple[int, int, np.ndarray]]:
+            for lo, hi, hashes, first in word_hashes(texts):
+                ok = np.ones(hi - lo, bool)
+                ok[confirmed(sent.value, hashes, first, spec)[0]] = False
+                yield lo, hi, ok
+
+        docs = keep_rows(docs, keep)
+    return docs

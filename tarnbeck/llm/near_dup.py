@@ -306,3 +306,9 @@ def near_duplicates(docs: DataFrame, spec: MinHash | None = None) -> DataFrame:
     out = feat.select("doc_id", *key).join(rooted, key, "left")
     root = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("comp", "doc_id"))
     return out.select("doc_id", "n_shingles", root.alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def drop_near_duplicates(docs: DataFrame, spec: MinHash | None = None) -> DataFrame:
+    """The documents, with all their columns, without those of which a near-duplicate with a smaller doc_id stays. Rows of one doc_id stay or go together."""
+    gone = near_duplicates(docs, spec).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

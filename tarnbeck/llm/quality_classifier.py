@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnbeck.llm.quality_rules import later, per_row, repeated
-from tarnbeck.llm.text import SPACE, Hasher, Piece, grams, mix, pieces, spans, words
+from tarnbeck.llm.text import Hasher, Piece, grams, keep_rows, mix, pieces, spans, words
 from tarnbeck.llm.training import labelled_sample
 
 FEATURES = [
@@ -161,3 +161,13 @@ def score(docs: DataFrame, model: RankModel | None) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+
+
+def filter_quality(docs: DataFrame, model: RankModel | None, least: float = 0.3) -> DataFrame:
+    """The documents, with all their columns, that score at least `least`; all if nothing was learned."""
+
+    def keep(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+        for piece in pieces(texts):
+            yield piece.lo, piece.hi, model.scores(features(piece)) >= least if model is not None else np.ones(len(piece), bool)
+
+    return keep_rows(docs, keep)

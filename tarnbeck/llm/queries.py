@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnbeck.llm import decontaminate, language_id, near_dup, quality_classifier, quality_rules, sharding, token_output, toxicity, url_filter
+from tarnbeck.llm import decontaminate, language_id, near_dup, quality_classifier, quality_rules, sentence_piece, sharding, token_output, toxicity, url_filter
 from tarnbeck.llm.training import remainder
 
 SHARDS = 40
@@ -22,6 +22,10 @@ def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.MinHash(size=3, percent=85))
 
 
+def op2_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_piece.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -67,6 +71,6 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_dup, op3_sharding, op4_toxicity, op5_decontamination, op6_url_filter, op7_quality_rules, op8_language_id, op9_quality_classifier, op10_token_output)
+    for f in (op1_near_dup, op2_sentence_piece, op3_sharding, op4_toxicity, op5_decontamination, op6_url_filter, op7_quality_rules, op8_language_id, op9_quality_classifier, op10_token_output)
 }
 ORACLE_SQL: dict[str, str] = {}

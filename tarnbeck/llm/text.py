@@ -7,12 +7,13 @@ span of a buffer costs O(1) whatever its length. Nulls read as empty texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text handled at once; a longer text forms a piece of its own.
 PIECE = 1 << 20
@@ -158,3 +159,15 @@ def concat_ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     out[at[0]] = begin[0]
     out[at[1:]] = begin[1:] - (begin[:-1] + size[:-1] - 1)
     return np.cumsum(out)
+
+
+def keep_rows(docs: DataFrame, keep: Callable[[pa.Array], Iterator[tuple[int, int, np.ndarray]]]) -> DataFrame:
+    """The rows, with all their columns, that `keep` accepts by their texts: it gets a batch's texts and yields (first row, last row, accepted)."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, ok in keep(batch.column(at)):
+                yield batch.slice(lo, hi - lo).filter(pa.array(ok))
+
+    return docs.mapInArrow(run, docs.schema)
