@@ -272,7 +272,8 @@ def near_duplicates(docs: DataFrame, spec: MinHash | None = None) -> DataFrame:
     stars = store.put(members.filter("node != pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct(), "stars")
 
     involved = stars.select(F.col("u").alias("node")).unionByName(stars.select(F.col("v").alias("node"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved, F.col("doc_id") == F.col("node"), "left_semi")
+    # merged at every size: what is involved grows with the documents, so no plan may rest on its being small
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved.hint("merge"), F.col("doc_id") == F.col("node"), "left_semi")
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))  # on the join's own partitioning
     sets = store.put(full_sets(texts, spec), "sets", "uncompressed")
 
