@@ -13,8 +13,11 @@ ROLLING = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.std
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row, column correlation: Pearson's over rows where neither is null; 0 where either does not vary."""
     require_columns("correlation", [x, y], df.columns)
-    value = F.corr(F.col(x).cast("double"), F.col(y).cast("double"))
-    return df.agg(F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0)).alias("correlation"))
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    value = F.covar_pop(F.when(both, a), F.when(both, b)) / F.nullif(spread, F.lit(0.0))
+    return df.agg(F.coalesce(value, F.lit(0.0)).alias("correlation"))
 
 
 def rolling(df: DataFrame, name: str, size: int, op: str, order_by: list[str], partition_by: list[str] | None = None) -> DataFrame:
