@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from tarnbeck.llm.rans import Table, checksum, decode, encode
 from tarnbeck.llm.store import Store
-from tarnbeck.llm.text import concat_ranges, pieces
+from tarnbeck.llm.text import LOWER, SPACE, Hasher, Piece, concat_ranges, pieces, spans
 
 #: Ids after which a block ends; it holds whole documents.
 BLOCK = 1 << 18
-#: Distinct words whose ids a worker remembers.
-REMEMBER = 400_000
+#: Distinct parts of words whose ids a worker remembers.
+REMEMBER = 1_500_000
 #: Documents to a range of doc_ids, which one task lays out.
 RANGE_ROWS = 1 << 17
 #: The largest number of ranges, which bounds what the driver holds.
@@ -34,8 +34,27 @@ RANGES = 4096
 _words: dict[str, WordIds] = {}
 
 
+def _kinds() -> np.ndarray:
+    """Of ASCII bytes: 0 space, 1 letter, 2 digit, 3 other; the first byte of U+00C0 to U+00FF and what follows it count as letters."""
+    out = np.full(256, 3, np.uint8)
+    out[SPACE] = 0
+    out[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+    out[48:58] = 2
+    return out
+
+
+_KIND = _kinds()
+
+
 class WordIds:
-    """Ids of whole texts by way of their words, which a tokenizer that never joins across ASCII space treats alone."""
+    """Ids of whole texts by way of their parts, each of which the tokenizer sees once.
+
+    The tokenizer never joins across ASCII space, nor across the borders of letters, digits and other
+    characters. So a word is split at those borders and A-Z lower-cased, if it consists of ASCII and of
+    letters from U+00C0 to U+00FF and has neither an apostrophe, which may begin a contraction, nor <,
+    which may begin a special token; any other word is a part as it stands. Parts are looked up by
+    64-bit hash in an open-addressing table.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -44,41 +63,107 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.keys, self.codes = np.zeros(1 << 22, np.uint64), np.zeros(1 << 22, np.int32)
         self.flat, self.size = np.zeros(1 << 20, np.uint32), 0
-        self.start, self.count = np.zeros(REMEMBER, np.int64), np.zeros(REMEMBER, np.int64)
-
-    def _learn(self, new: list[bytes]) -> None:
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, e in zip(part, found, strict=True):
-                ids, k = e.ids, len(self.known)
-                if k >= len(self.start):
-                    self.start, self.count = np.resize(self.start, 2 * k), np.resize(self.count, 2 * k)
-                while self.size + len(ids) > len(self.flat):
-                    self.flat = np.resize(self.flat, 2 * len(self.flat))
-                self.flat[self.size : self.size + len(ids)] = ids
-                self.start[k], self.count[k], self.known[w] = self.size, len(ids), k
-                self.size += len(ids)
-
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        self.start, self.count, self.used = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32), 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The code of each hash, or -1."""
+        out = np.full(len(hashes), -1, np.int64)
+        mask, at = np.uint64(len(self.keys) - 1), np.arange(len(hashes))
+        slot = hashes & mask
+        while len(at):
+            key = self.keys[slot]
+            hit = key == hashes[at]
+            out[at[hit]] = self.codes[slot[hit]]
+            on = ~hit & (key != 0)
+            at, slot = at[on], (slot[on] + np.uint64(1)) & mask
+        return out
+
+    def _insert(self, hashes: np.ndarray, codes: np.ndarray) -> None:
+        """Distinct new hashes. The table is at most half full."""
+        while 2 * (self.used + len(hashes)) > len(self.keys):
+            old = np.flatnonzero(self.keys)
+            keys, kept, size = self.keys[old], self.codes[old], 2 * len(self.keys)
+            self.keys, self.codes = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._place(keys, kept)
+        self._place(hashes, codes)
+
+    def _place(self, hashes: np.ndarray, codes: np.ndarray) -> None:
+        mask = np.uint64(len(self.keys) - 1)
+        slot = hashes & mask
+        while len(hashes):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[slot[won]], self.codes[slot[won]] = hashes[won], codes[won]
+            lost = np.ones(len(hashes), bool)
+            lost[won] = False
+            hashes, codes, slot = hashes[lost], codes[lost], (slot[lost] + np.uint64(1)) & mask
+
+    def _learn(self, hashes: np.ndarray, parts: list[bytes]) -> None:
+        ids: list[int] = []
+        count = np.zeros(len(parts), np.int64)
+        for lo in range(0, len(parts), 20_000):
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in parts[lo : lo + 20_000]], add_special_tokens=False)
+            for k, e in enumerate(found, lo):
+                got = e.ids
+                count[k] = len(got)
+                ids += got
+        n, k = len(ids), self.used
+        while k + len(parts) > len(self.start):
+            self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
+        while self.size + n > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.size : self.size + n] = ids
+        self.start[k : k + len(parts)] = self.size + np.cumsum(count) - count
+        self.count[k : k + len(parts)] = count
+        self.size, self.used = self.size + n, k + len(parts)
+        self._insert(hashes, np.arange(k, k + len(parts), dtype=np.int32))
+
+    def __call__(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, one text after the other, and how many each has."""
-        lists = [t.split() for t in texts]
-        every = [w for ws in lists for w in ws]
-        if len(self.known) > REMEMBER:
+        buf, off = piece.buf, piece.off
+        start, end, _ = spans(~SPACE[buf], off)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(piece), np.int64)
+        after = np.zeros(len(buf), bool)  # follows the byte that begins U+00C0 to U+00FF, and is neither a multiplication nor a division sign
+        after[1:] = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] < 0xC0) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
+        odd = ((buf >= 0x80) & (buf != 0xC3) & ~after) | (buf == 39) | (buf == 60)
+        sums = np.zeros(len(buf) + 1, np.int64)
+        np.cumsum(odd, out=sums[1:])
+        whole = sums[end] > sums[start]
+        kind, shown = _KIND[buf], LOWER[buf]
+        if whole.any():
+            edge = np.zeros(len(buf) + 1, np.int8)
+            edge[start[whole]] += 1
+            np.subtract.at(edge, end[whole], 1)
+            inside = np.cumsum(edge[:-1], dtype=np.int32) > 0
+            kind[inside] = 4
+            shown[inside] = buf[inside]
+        change = np.ones(len(buf), bool)
+        change[1:] = kind[1:] != kind[:-1]
+        change[start] = True
+        p_start = np.flatnonzero(change & (kind != 0))
+        last = np.ones(len(buf), bool)
+        last[:-1] = change[1:]
+        last[end - 1] = True
+        p_end = np.flatnonzero(last & (kind != 0)) + 1
+        hashes = np.maximum(Hasher(shown)(p_start, p_end), 1)
+        if self.used > REMEMBER:
             self.clear()
-        new = list(dict.fromkeys(w for w in every if w not in self.known))
-        if new:
-            self._learn(new)
-        code = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
-        size = self.count[code]
-        ids = self.flat[concat_ranges(self.start[code], size)]
-        ends = np.zeros(len(every) + 1, np.int64)
+        code = self.find(hashes)
+        new = np.flatnonzero(code < 0)
+        if len(new):
+            distinct, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+            raw, at = shown.tobytes(), new[first]
+            base = self.used
+            self._learn(distinct, [raw[a:b] for a, b in zip(p_start[at].tolist(), p_end[at].tolist(), strict=True)])
+            code[new] = base + back
+        size = self.count[code].astype(np.int64)
+        ends = np.zeros(len(code) + 1, np.int64)
         np.cumsum(size, out=ends[1:])
-        at = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum([len(ws) for ws in lists], out=at[1:])
-        return ids, np.diff(ends[at])
+        return self.flat[concat_ranges(self.start[code], size)], np.diff(ends[np.searchsorted(p_start, off)])
 
 
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -92,9 +177,9 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for piece in pieces(batch.column(1)):
-                raw = piece.buf.tobytes()
-                texts = [raw[a:b] for a, b in zip(piece.off[:-1].tolist(), piece.off[1:].tolist(), strict=True)]
-                ids, size = words(texts)
+                raw, bounds = memoryview(piece.buf), piece.off.tolist()
+                sums = [zlib.crc32(raw[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                ids, size = words(piece)
                 ends, packed = np.cumsum(size), []
                 for lo, hi in zip((ends - size).tolist(), ends.tolist(), strict=True):
                     one = np.empty(hi - lo + 1, "<u4")
@@ -102,7 +187,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                     wide = one.max() > 65535
                     packed.append((b"4" if wide else b"2") + squeeze.compress((one if wide else one.astype("<u2")).tobytes()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(piece.lo, len(piece)), pa.array(size + 1), pa.array([zlib.crc32(t) for t in texts], pa.int64()), pa.array(packed, pa.binary())],
+                    [batch.column(0).slice(piece.lo, len(piece)), pa.array(size + 1), pa.array(sums, pa.int64()), pa.array(packed, pa.binary())],
                     names=["doc_id", "n_tokens", "text_crc32", "ids"],
                 )
 
