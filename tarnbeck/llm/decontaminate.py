@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnbeck.llm.text import Hasher, grams, keep_rows, pieces, spans
+from tarnbeck.llm.text import Hasher, bounded_batches, grams, keep_rows, pieces, spans
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -204,7 +204,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_id"
                         size = pa.array([len(known.words[k]) for k in item], pa.int64())
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + row)), ids, pa.array(share), size], names=["doc_id", id_column, "score", "n_words"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        part = bounded_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 

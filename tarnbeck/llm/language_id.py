@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnbeck.llm.text import mix, pieces
+from tarnbeck.llm.text import bounded_batches, mix, pieces
 from tarnbeck.llm.training import labelled_sample
 
 BUCKETS = 1 << 13
@@ -108,7 +108,7 @@ def train(docs: DataFrame, per_lang: int = 400, landmarks: int = 128, ridge: flo
                 bits = np.packbits(present.astype(bool), axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([b.tobytes() for b in bits], pa.binary())], names=["lang", "bits"])
 
-    found = sample.select(F.col("label").cast("string").alias("lang"), "text").mapInArrow(run, "lang string, bits binary").collect()  # about per_lang rows of a kilobyte for each language
+    found = bounded_batches(sample).select(F.col("label").cast("string").alias("lang"), "text").mapInArrow(run, "lang string, bits binary").collect()  # about per_lang rows of a kilobyte for each language
     if not found:
         return None
     found.sort(key=lambda r: (r["lang"], bytes(r["bits"])))
@@ -140,4 +140,4 @@ def predict(docs: DataFrame, model: KernelModel | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")

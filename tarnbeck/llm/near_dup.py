@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnbeck.llm.store import Store
-from tarnbeck.llm.text import Piece, grams, mix, pieces, words
+from tarnbeck.llm.text import Piece, bounded_batches, grams, mix, pieces, words
 
 #: Classes on either side of an exact comparison.
 BLOCK = 256
@@ -120,7 +120,7 @@ def sketch(docs: DataFrame, spec: MinHash) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), _u64(band.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)), pa.array(size), _u64(h1), _u64(h2), lists], names=["doc_id", "n_shingles", "h1", "h2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, spec: MinHash) -> DataFrame:
@@ -135,7 +135,7 @@ def full_sets(docs: DataFrame, spec: MinHash) -> DataFrame:
                     [batch.column(0).slice(piece.lo, len(piece)), pa.array(sig, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "sig", "shingles"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, sig binary, shingles binary")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, sig binary, shingles binary")
 
 
 def similar(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -157,7 +157,7 @@ def verify(pairs: DataFrame, spec: MinHash) -> DataFrame:
                         keep[k] = similar(np.int64(len(np.intersect1d(a, b, assume_unique=True))), len(a), len(b), spec.percent)
             yield pa.RecordBatch.from_arrays([u.filter(pa.array(keep)), v.filter(pa.array(keep))], names=["u", "v"])
 
-    return pairs.select("u", "v", "sig_u", "sig_v", "set_u", "set_v").mapInArrow(run, "u long, v long")
+    return bounded_batches(pairs).select("u", "v", "sig_u", "sig_v", "set_u", "set_v").mapInArrow(run, "u long, v long")
 
 
 def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnbeck.llm.quality_rules import later, per_row, repeated
-from tarnbeck.llm.text import Hasher, Piece, grams, keep_rows, mix, pieces, spans, words
+from tarnbeck.llm.text import Hasher, Piece, bounded_batches, grams, keep_rows, mix, pieces, spans, words
 from tarnbeck.llm.training import labelled_sample
 
 FEATURES = [
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", at: float
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(piece.lo, len(piece)) for c in (0, 1)), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = sample.select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(run, f"doc_id {kind}, label int, x array<double>").collect()
+    found = bounded_batches(sample).select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(run, f"doc_id {kind}, label int, x array<double>").collect()
     found.sort(key=lambda r: (str(r["doc_id"]), r["label"], r["x"]))
     return fit(np.array([r["x"] for r in found]), np.array([r["label"] for r in found]), at) if found else None
 
@@ -160,7 +160,7 @@ def score(docs: DataFrame, model: RankModel | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)), pa.array(s)], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def filter_quality(docs: DataFrame, model: RankModel | None, least: float = 0.3) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tarnbeck.llm.text import SPACE, Hasher, Piece, grams, mix, pieces, spans, words
+from tarnbeck.llm.text import SPACE, Hasher, Piece, bounded_batches, grams, mix, pieces, spans, words
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -129,4 +129,4 @@ def apply_rules(docs: DataFrame, limits: RepetitionLimits | None = None) -> Data
                 out = measure(piece, limits)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)), *(pa.array(out[c]) for c in columns)], names=["doc_id", *columns])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnbeck.llm import decontaminate, language_id, near_dup, quality_classifier, quality_rules, sentence_piece, sharding, token_output, toxicity, url_filter
+from tarnbeck.llm.oracle import ORACLE_SQL
 from tarnbeck.llm.training import remainder
 
 SHARDS = 40
@@ -73,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_near_dup, op2_sentence_piece, op3_sharding, op4_toxicity, op5_decontamination, op6_url_filter, op7_quality_rules, op8_language_id, op9_quality_classifier, op10_token_output)
 }
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

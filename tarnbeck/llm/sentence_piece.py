@@ -21,14 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tarnbeck.llm.text import concat_ranges, pieces
+from tarnbeck.llm.id_table import IdTable
+from tarnbeck.llm.text import Hasher, Piece, bounded_batches, concat_ranges, mix, pieces, spans
 
 MARK = "▁"
 #: Units that a worker remembers, and characters of new units that are indexed at once.
-REMEMBER, INDEX = 800_000, 1 << 21
+REMEMBER, INDEX = 1_000_000, 1 << 20
 
 #: Bytes of text encoded at once.
-BATCH = 1 << 23
+BATCH = 1 << 22
 
 _coders: dict[str, Coder] = {}
 
@@ -64,12 +65,7 @@ class Coder:
             self.table[k, : len(p)] = [ord(c) for c in p]
         self.usable_id = np.array([self.id[p] for p in self.usable], np.int64)
         self.pair_keys, self.pair_stable = np.zeros(0, np.int64), np.zeros(0, bool)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.size = np.zeros(1 << 20, np.int32), 0
-        self.start, self.count = np.zeros(REMEMBER, np.int64), np.zeros(REMEMBER, np.int64)
+        self.units = IdTable(REMEMBER)
 
     def _merge(self, text: str) -> list[str]:
         """BPE of a short text by its merges: the best-ranked neighbours first, the leftmost of equals."""
@@ -133,8 +129,8 @@ class Coder:
         at = order[concat_ranges(lo, count)]
         return at, at + np.repeat(length, count), np.repeat(ids, count)
 
-    def _learn(self, units: list[str]) -> None:
-        """Encodes new units together."""
+    def _learn(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes units together: their ids, one unit after the other, and how many each has."""
         joined = "\0".join(units) + "\0"  # no piece holds the separator
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.array([len(u) for u in units])
@@ -181,57 +177,50 @@ class Coder:
             where = np.repeat(piece < 0, times)
             piece, owner = np.repeat(piece, times), np.repeat(owner, times)
             piece[where] = [self.byte[b] for r in raw for b in r]
-        counts, total = np.bincount(owner, minlength=len(units)), len(piece)
-        k = len(self.known)
-        while k + len(units) > len(self.start):
-            self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
-        while self.size + total > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.size : self.size + total] = piece
-        self.count[k : k + len(units)] = counts
-        self.start[k : k + len(units)] = self.size + np.cumsum(counts) - counts
-        self.known.update(zip(units, range(k, k + len(units))))
-        self.size += total
-
-    def units(self, text: str) -> list[str]:
-        """A word with one mark before it, if there is one; a run of further marks before it is a unit."""
-        if not text:
-            return []
-        parts = ((" " if self.dummy else "") + text).replace(MARK, " ").split(" ")
-        out = [parts[0]] if parts[0] else []
-        run = 0
-        for p in parts[1:]:
-            run += 1
-            if p:
-                out.append(MARK * run + p)
-                run = 0
-        if run:
-            out.append(MARK * run)
-        return out
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' ids, one text after the other, and how many each has."""
-        lists = [self.units(t) for t in texts]
-        every = [u for us in lists for u in us]
-        if len(self.known) > REMEMBER:
-            self.clear()
-        held, size = [], 0
-        for u in dict.fromkeys(u for u in every if u not in self.known):
-            held.append(u)
-            size += len(u) + 1
-            if size >= INDEX:
-                self._learn(held)
-                held, size = [], 0
-        if held:
-            self._learn(held)
-        code = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
-        count = self.count[code]
-        ids = self.flat[concat_ranges(self.start[code], count)]
-        ends = np.zeros(len(every) + 1, np.int64)
-        np.cumsum(count, out=ends[1:])
-        at = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum([len(us) for us in lists], out=at[1:])
-        return ids, np.diff(ends[at])
+        return piece, np.bincount(owner, minlength=len(units))
+
+    def encode(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, one text after the other, and how many each has.
+
+        A unit is a word with the marks before it, of which the text's first has one more; marks at the
+        end of a text are a unit of their own. Units are looked up by hash.
+        """
+        piece = spaced(piece)
+        buf, off = piece.buf, piece.off
+        start, end, first = spans(buf != 32, off)
+        hashes, rows = Hasher(buf)(start, end), np.arange(len(piece))
+        row = np.repeat(rows, np.diff(first))
+        marks = start - np.append(0, end[:-1]) if len(start) else start
+        opens = first[:-1][first[1:] > first[:-1]]
+        marks[opens] = start[opens] - off[row[opens]] + self.dummy
+        last = off[:-1].copy()  # the end of a text's last word, or its beginning
+        full = first[1:] > first[:-1]
+        last[full] = end[first[1:][full] - 1]
+        tail = np.flatnonzero(off[1:] > last)
+        more = off[1:][tail] - last[tail] + (self.dummy & ~full[tail])
+        # words and tails in the order of the texts
+        at = np.concatenate([end, off[1:][tail]])
+        order = np.argsort(at, kind="stable")
+        begin = np.concatenate([start, off[1:][tail]])[order]
+        at = at[order]
+        marks = np.concatenate([marks, more])[order]
+        hashes = np.maximum(mix(np.concatenate([hashes, np.zeros(len(tail), np.uint64)])[order] + marks.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), 1)
+        self.units.room()
+        code = self.units.find(hashes)
+        new = np.flatnonzero(code < 0)
+        if len(new):
+            distinct, where, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+            raw, base = buf.tobytes(), self.units.used
+            some = new[where]
+            texts = [MARK * k + raw[a:b].decode("utf-8", "replace") for k, a, b in zip(marks[some].tolist(), begin[some].tolist(), at[some].tolist(), strict=True)]
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            lo = 0
+            while lo < len(texts):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + INDEX, side="right")))
+                self.units.add(distinct[lo:hi], *self._learn(texts[lo:hi]))
+                lo = hi
+            code[new] = base + back
+        return self.units.ids(code, np.append(np.searchsorted(at, off[:-1], side="right"), len(at)))
 
     def decode_table(self) -> list[bytes]:
         known = {k: bytes([b]) for b, k in self.byte.items()}
@@ -247,6 +236,18 @@ class Coder:
         return raw.decode("utf-8", "replace")
 
 
+def spaced(piece: Piece) -> Piece:
+    """The piece with spaces in place of the marks that its texts hold themselves."""
+    raw = piece.buf.tobytes()
+    if MARK.encode() not in raw:
+        return piece
+    bounds = piece.off.tolist()
+    texts = [raw[a:b].replace(MARK.encode(), b" ") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    off = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) for t in texts], out=off[1:])
+    return Piece(piece.lo, piece.hi, np.frombuffer(b"".join(texts), np.uint8), off)
+
+
 def suffix_array(codes: np.ndarray) -> np.ndarray:
     """Suffixes in order, as far as 16 characters, the longest piece, tell them apart.
 
@@ -294,13 +295,13 @@ def encode_documents(docs: DataFrame, model: str, keep: list[str] | None = None,
         for batch in batches:
             names, text = batch.schema.names[:-1], batch.column(batch.num_columns - 1)
             for piece in pieces(text, BATCH):
-                raw = piece.buf.tobytes()
-                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(piece.off[:-1].tolist(), piece.off[1:].tolist(), strict=True)]
-                ids, size = coded.encode(texts)
+                raw, bounds = piece.buf.tobytes(), piece.off.tolist()
+                texts = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                ids, size = coded.encode(piece)
                 ends = np.cumsum(size)
                 parts = [ids[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
                 crc = [zlib.crc32(p.astype("<u4").tobytes()) for p in parts]
-                back = [coded.decode(p) == t for p, t in zip(parts, texts, strict=True)]
+                back = [coded.decode(p) == t.decode() for p, t in zip(parts, texts, strict=True)]
                 cols = [batch.column(k).slice(piece.lo, len(piece)) for k in range(len(names))]
                 if with_ids:
                     offsets = np.zeros(len(size) + 1, np.int32)
@@ -312,7 +313,7 @@ def encode_documents(docs: DataFrame, model: str, keep: list[str] | None = None,
     columns = ["doc_id", *(c for c in keep if c not in ("doc_id", "text"))]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     schema += (", ids array<int>" if with_ids else "") + ", n_tokens long, ids_crc32 long, round_trip boolean"
-    return docs.select(*columns, "text").mapInArrow(run, schema)
+    return bounded_batches(docs).select(*columns, "text").mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
@@ -325,4 +326,4 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return bounded_batches(encoded).select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")

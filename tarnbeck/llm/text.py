@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+#: Rows that Spark hands to Python at once. Its own default of 10,000 is too much for rows that hold texts.
+ROWS = 1024
 #: Bytes of text handled at once; a longer text forms a piece of its own.
 PIECE = 1 << 20
 
@@ -49,6 +51,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The frame; sees to it that its session hands at most ROWS rows to Python at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ROWS:
+        conf.set(key, ROWS)
+    return df
+
+
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -170,4 +180,4 @@ def keep_rows(docs: DataFrame, keep: Callable[[pa.Array], Iterator[tuple[int, in
             for lo, hi, ok in keep(batch.column(at)):
                 yield batch.slice(lo, hi - lo).filter(pa.array(ok))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

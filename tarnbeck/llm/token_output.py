@@ -18,14 +18,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnbeck.llm.id_table import IdTable
 from tarnbeck.llm.rans import Table, checksum, decode, encode
 from tarnbeck.llm.store import Store
-from tarnbeck.llm.text import LOWER, SPACE, Hasher, Piece, concat_ranges, pieces, spans
+from tarnbeck.llm.text import LOWER, SPACE, Hasher, Piece, bounded_batches, pieces, spans
 
 #: Ids after which a block ends; it holds whole documents.
 BLOCK = 1 << 18
 #: Distinct parts of words whose ids a worker remembers.
-REMEMBER = 1_500_000
+REMEMBER = 1_000_000
 #: Documents to a range of doc_ids, which one task lays out.
 RANGE_ROWS = 1 << 17
 #: The largest number of ranges, which bounds what the driver holds.
@@ -53,73 +54,24 @@ class WordIds:
     characters. So a word is split at those borders and A-Z lower-cased, if it consists of ASCII and of
     letters from U+00C0 to U+00FF and has neither an apostrophe, which may begin a contraction, nor <,
     which may begin a special token; any other word is a part as it stands. Parts are looked up by
-    64-bit hash in an open-addressing table.
+    64-bit hash.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.codes = np.zeros(1 << 22, np.uint64), np.zeros(1 << 22, np.int32)
-        self.flat, self.size = np.zeros(1 << 20, np.uint32), 0
-        self.start, self.count, self.used = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32), 0
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The code of each hash, or -1."""
-        out = np.full(len(hashes), -1, np.int64)
-        mask, at = np.uint64(len(self.keys) - 1), np.arange(len(hashes))
-        slot = hashes & mask
-        while len(at):
-            key = self.keys[slot]
-            hit = key == hashes[at]
-            out[at[hit]] = self.codes[slot[hit]]
-            on = ~hit & (key != 0)
-            at, slot = at[on], (slot[on] + np.uint64(1)) & mask
-        return out
-
-    def _insert(self, hashes: np.ndarray, codes: np.ndarray) -> None:
-        """Distinct new hashes. The table is at most half full."""
-        while 2 * (self.used + len(hashes)) > len(self.keys):
-            old = np.flatnonzero(self.keys)
-            keys, kept, size = self.keys[old], self.codes[old], 2 * len(self.keys)
-            self.keys, self.codes = np.zeros(size, np.uint64), np.zeros(size, np.int32)
-            self._place(keys, kept)
-        self._place(hashes, codes)
-
-    def _place(self, hashes: np.ndarray, codes: np.ndarray) -> None:
-        mask = np.uint64(len(self.keys) - 1)
-        slot = hashes & mask
-        while len(hashes):
-            free = np.flatnonzero(self.keys[slot] == 0)
-            _, first = np.unique(slot[free], return_index=True)
-            won = free[first]
-            self.keys[slot[won]], self.codes[slot[won]] = hashes[won], codes[won]
-            lost = np.ones(len(hashes), bool)
-            lost[won] = False
-            hashes, codes, slot = hashes[lost], codes[lost], (slot[lost] + np.uint64(1)) & mask
+        self.table = IdTable(REMEMBER)
 
     def _learn(self, hashes: np.ndarray, parts: list[bytes]) -> None:
-        ids: list[int] = []
+        ids: list[np.ndarray] = []
         count = np.zeros(len(parts), np.int64)
-        for lo in range(0, len(parts), 20_000):
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in parts[lo : lo + 20_000]], add_special_tokens=False)
-            for k, e in enumerate(found, lo):
-                got = e.ids
-                count[k] = len(got)
-                ids += got
-        n, k = len(ids), self.used
-        while k + len(parts) > len(self.start):
-            self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
-        while self.size + n > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.size : self.size + n] = ids
-        self.start[k : k + len(parts)] = self.size + np.cumsum(count) - count
-        self.count[k : k + len(parts)] = count
-        self.size, self.used = self.size + n, k + len(parts)
-        self._insert(hashes, np.arange(k, k + len(parts), dtype=np.int32))
+        for lo in range(0, len(parts), 8192):
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in parts[lo : lo + 8192]], add_special_tokens=False)
+            got = [e.ids for e in found]
+            count[lo : lo + len(got)] = [len(x) for x in got]
+            ids.append(np.fromiter((i for x in got for i in x), np.uint32))
+        self.table.add(hashes, np.concatenate(ids), count)
 
     def __call__(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, one text after the other, and how many each has."""
@@ -137,7 +89,7 @@ class WordIds:
         if whole.any():
             edge = np.zeros(len(buf) + 1, np.int8)
             edge[start[whole]] += 1
-            np.subtract.at(edge, end[whole], 1)
+            edge[end[whole]] -= 1
             inside = np.cumsum(edge[:-1], dtype=np.int32) > 0
             kind[inside] = 4
             shown[inside] = buf[inside]
@@ -150,20 +102,15 @@ class WordIds:
         last[end - 1] = True
         p_end = np.flatnonzero(last & (kind != 0)) + 1
         hashes = np.maximum(Hasher(shown)(p_start, p_end), 1)
-        if self.used > REMEMBER:
-            self.clear()
-        code = self.find(hashes)
+        self.table.room()
+        code = self.table.find(hashes)
         new = np.flatnonzero(code < 0)
         if len(new):
             distinct, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
-            raw, at = shown.tobytes(), new[first]
-            base = self.used
+            raw, at, base = shown.tobytes(), new[first], self.table.used
             self._learn(distinct, [raw[a:b] for a, b in zip(p_start[at].tolist(), p_end[at].tolist(), strict=True)])
             code[new] = base + back
-        size = self.count[code].astype(np.int64)
-        ends = np.zeros(len(code) + 1, np.int64)
-        np.cumsum(size, out=ends[1:])
-        return self.flat[concat_ranges(self.start[code], size)], np.diff(ends[np.searchsorted(p_start, off)])
+        return self.table.ids(code, np.searchsorted(p_start, off))
 
 
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -192,7 +139,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, text_crc32 long, ids binary")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, text_crc32 long, ids binary")
 
 
 def unpack(packed: bytes) -> np.ndarray:
@@ -203,17 +150,24 @@ def count_ids(tokens: DataFrame) -> DataFrame:
     """id, n: how often each id occurs in all documents; a row per id and task is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        total, held, size = np.zeros(0, np.int64), [], 0
+
+        def count() -> np.ndarray:
+            n = np.bincount(np.concatenate(held), minlength=len(total)) if held else total
+            n[: len(total)] += total
+            return n
+
         for batch in batches:
             for packed in batch.column(0):
-                n = np.bincount(unpack(packed.as_py()))
-                if len(n) > len(total):
-                    total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-                total[: len(n)] += n
+                held.append(unpack(packed.as_py()))
+                size += len(held[-1])
+                if size > 1 << 21:
+                    total, held, size = count(), [], 0
+        total = count() if held else total
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return bounded_batches(tokens).select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, block: int = BLOCK, bits: int = 20) -> str:
@@ -293,7 +247,7 @@ def _blocks(ranged: DataFrame, table: Table, start: dict[int, int], most: int, k
     names = ["part", "number", "start", "n_ids", "docs", "lengths", "ids_crc32", "payload"]
     schema = f"part int, number long, start long, n_ids long, docs array<{'string' if kind == 'string' else 'bigint'}>, lengths array<long>, ids_crc32 long, payload binary"
     laid = ranged.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text_crc32")
-    return laid.select("doc_id", "ids", "part").mapInArrow(run, schema)
+    return bounded_batches(laid).select("doc_id", "ids", "part").mapInArrow(run, schema)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -320,4 +274,4 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     # a block holds up to a million bytes; the reader hands a batch of rows to Python at once
-    return blocks.select("n_ids", "start", "docs", "lengths", "ids_crc32", "payload").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return bounded_batches(blocks).select("n_ids", "start", "docs", "lengths", "ids_crc32", "payload").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
