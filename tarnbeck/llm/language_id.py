@@ -37,7 +37,7 @@ def spectra(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     Whole texts count, whatever their length. Bytes that are no letters become one mark.
     """
     lowered = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
-    for piece in pieces(lowered):
+    for piece in pieces(lowered, 1 << 20):
         for lo in range(0, len(piece), ROWS):
             hi = min(lo + ROWS, len(piece))
             off = piece.off[lo : hi + 1] - piece.off[lo]

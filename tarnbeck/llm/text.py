@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 
 #: Rows that Spark hands to Python at once. Its own default of 10,000 is too much for rows that hold texts.
 ROWS = 1024
-#: Bytes of text handled at once; a longer text forms a piece of its own.
-PIECE = 1 << 20
+#: Bytes of text handled at once, so that a piece's arrays stay in a core's cache; a longer text forms a piece of its own.
+PIECE = 1 << 17
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -53,7 +53,8 @@ class WordIds:
     The tokenizer never joins across ASCII space, nor across the borders of letters, digits and other
     characters. So a word is split at those borders and A-Z lower-cased, if it consists of ASCII and of
     letters from U+00C0 to U+00FF and has neither an apostrophe, which may begin a contraction, nor <,
-    which may begin a special token; any other word is a part as it stands. Parts are looked up by
+    which may begin a special token; any other word is a part as it stands. A run of letters goes
+    straight to the tokenizer's model. Parts are looked up by
     64-bit hash.
     """
 
@@ -62,16 +63,29 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.table = IdTable(REMEMBER)
-
-    def _learn(self, hashes: np.ndarray, parts: list[bytes]) -> None:
-        ids: list[np.ndarray] = []
-        count = np.zeros(len(parts), np.int64)
-        for lo in range(0, len(parts), 8192):
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in parts[lo : lo + 8192]], add_special_tokens=False)
-            got = [e.ids for e in found]
-            count[lo : lo + len(got)] = [len(x) for x in got]
-            ids.append(np.fromiter((i for x in got for i in x), np.uint32))
-        self.table.add(hashes, np.concatenate(ids), count)
+        # what the tokenizer makes of a letter before its model sees it
+        shown = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        letters = [*map(chr, range(97, 123)), *(c for c in map(chr, range(0xDF, 0x100)) if c.isalpha())]
+        self.letters = str.maketrans({c: "".join(x for x, _ in shown(c)) for c in letters})
+        probe = ["tokenizer", "thndedle", "éclair", "straße", "ÉCLAIR", "ÿ", "Ñandú", "a"]
+        self.direct = [self._letters(w) for w in probe] == [e.ids for e in self.tokenizer.encode_batch_fast(probe, add_special_tokens=False)]
+
+    def _letters(self, word: str) -> list[int]:
+        """Ids of a run of letters from the model itself, without what the tokenizer does to whole texts."""
+        return [t.id for t in self.tokenizer.model.tokenize(word.lower().translate(self.letters))]
+
+    def _learn(self, hashes: np.ndarray, parts: list[bytes], letters: np.ndarray) -> None:
+        texts = [w.decode("utf-8", "replace") for w in parts]
+        got: list[list[int]] = [[]] * len(parts)
+        runs = letters & self.direct
+        for k in np.flatnonzero(runs).tolist():
+            got[k] = self._letters(texts[k])
+        others = np.flatnonzero(~runs).tolist()
+        for lo in range(0, len(others), 8192):
+            some = others[lo : lo + 8192]
+            for k, e in zip(some, self.tokenizer.encode_batch_fast([texts[k] for k in some], add_special_tokens=False), strict=True):
+                got[k] = e.ids
+        self.table.add(hashes, np.fromiter((i for x in got for i in x), np.uint32), np.array([len(x) for x in got]))
 
     def __call__(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, one text after the other, and how many each has."""
@@ -108,7 +122,7 @@ class WordIds:
         if len(new):
             distinct, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
             raw, at, base = shown.tobytes(), new[first], self.table.used
-            self._learn(distinct, [raw[a:b] for a, b in zip(p_start[at].tolist(), p_end[at].tolist(), strict=True)])
+            self._learn(distinct, [raw[a:b] for a, b in zip(p_start[at].tolist(), p_end[at].tolist(), strict=True)], kind[p_start[at]] == 1)
             code[new] = base + back
         return self.table.ids(code, np.searchsorted(p_start, off))
 
