@@ -8,7 +8,7 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _NEAR_DUP = f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-             ELSE list_transform(range(1, len(w) - 1), k -> w[k] || ' ' || w[k + 1] || ' ' || w[k + 2]) END) AS g FROM w),
+             ELSE list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2]) END) AS g FROM w),
 e AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
 pairs AS MATERIALIZED (
   SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id

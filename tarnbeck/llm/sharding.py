@@ -30,23 +30,19 @@ def spread(slots: int, shards: int) -> list[int]:
 def rebalance(sizes: list[int], old: list[int], shards: int) -> list[int]:
     """An edit of the map `old` that levels the shards' bytes.
 
-    A virtual slot keeps its shard while that shard stays within the mean; the others, largest first,
-    go to the shard that is smallest by then. The result depends on its arguments alone.
+    Largest first, a virtual slot keeps its shard while that shard stays within the mean, or is the
+    smallest by then; otherwise it goes to the smallest. The result depends on the arguments alone.
     """
     mean = -(-sum(sizes) // shards)
-    load, new, loose = [0] * shards, [-1] * len(sizes), []
+    load, new = [0] * shards, [0] * len(sizes)
+    heap = [(0, s) for s in range(shards)]
     for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
-        if 0 <= old[k] < shards and load[old[k]] + sizes[k] <= mean:
-            new[k] = old[k]
-            load[old[k]] += sizes[k]
-        else:
-            loose.append(k)
-    heap = [(x, s) for s, x in enumerate(load)]
-    heapq.heapify(heap)
-    for k in loose:
-        x, s = heapq.heappop(heap)
+        while heap[0][0] != load[heap[0][1]]:  # the shard has grown since
+            heapq.heappop(heap)
+        s = old[k] if 0 <= old[k] < shards and (load[old[k]] + sizes[k] <= mean or load[old[k]] == heap[0][0]) else heap[0][1]
         new[k] = s
-        heapq.heappush(heap, (x + sizes[k], s))
+        load[s] += sizes[k]
+        heapq.heappush(heap, (load[s], s))
     return new
 
 
