@@ -65,20 +65,20 @@ add("with_column_arith", over_table("lineitem", "l_orderkey l_linenumber l_exten
 add("with_column_replace", over_table("customer", "c_custkey c_acctbal", lambda df: op.with_column(df, "c_acctbal", F.col("c_acctbal") * 2)), "SELECT c_custkey, c_acctbal * 2 AS c_acctbal FROM customer")
 add("mixed_type_arith", over_table("lineitem", "l_orderkey l_linenumber l_quantity", lambda df: df.select((F.col("l_orderkey") + F.col("l_linenumber")).alias("int_long"), (F.col("l_linenumber") * F.col("l_quantity")).alias("int_double"), (F.col("l_orderkey") - F.col("l_quantity")).alias("long_double"))),
     "SELECT l_orderkey + l_linenumber AS int_long, l_linenumber * l_quantity AS int_double, l_orderkey - l_quantity AS long_double FROM lineitem")
-FILTERS: dict[str, tuple[str, str, str, list[Column]]] = {
-    "filter_cmp": ("customer", "c_custkey c_acctbal", "c_acctbal >= 5000", [F.col("c_acctbal") >= 5000]),
-    "filter_string_eq": ("customer", "c_custkey c_mktsegment", "c_mktsegment = 'BUILDING'", [F.col("c_mktsegment") == "BUILDING"]),
-    "filter_string_order": ("customer", "c_custkey c_mktsegment", "c_mktsegment < 'F'", [F.col("c_mktsegment") < "F"]),
-    "filter_and_or": ("orders", "o_orderkey o_orderstatus o_totalprice", "(o_orderstatus = 'F' OR o_totalprice > 200000) AND o_orderkey > 100", [((F.col("o_orderstatus") == "F") | (F.col("o_totalprice") > 200000)) & (F.col("o_orderkey") > 100)]),
-    "filter_not": ("orders", "o_orderkey o_orderstatus", "NOT (o_orderstatus = 'F')", [fn.not_(F.col("o_orderstatus") == "F")]),
-    "filter_chain": ("orders", "o_orderkey o_orderstatus o_totalprice", "o_totalprice > 50000 AND o_totalprice < 150000 AND o_orderstatus <> 'P'", [F.col("o_totalprice") > 50000, F.col("o_totalprice") < 150000, F.col("o_orderstatus") != "P"]),
-    "filter_timestamp": ("orders", "o_orderkey o_orderdate", "o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'", [F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz"), F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz")]),
-    "filter_in_between_like": ("part", "p_partkey p_brand p_size p_type", "p_size IN (1, 5, 9) OR (p_size BETWEEN 20 AND 25 AND p_type LIKE '%A%')", [F.col("p_size").isin(1, 5, 9) | (F.col("p_size").between(20, 25) & F.col("p_type").like("%A%"))]),
-    "filter_modulo": ("orders", "o_orderkey", "o_orderkey % 7 = 3", [fn.modulo("o_orderkey", F.lit(7)) == 3]),
-    "filter_bool_column": ("customer", "c_custkey c_acctbal", "c_acctbal < 0", [(F.col("c_acctbal") < 0) == F.lit(True)]),
+FILTERS: dict[str, tuple[str, str, str, Callable[[], list[Column]]]] = {
+    "filter_cmp": ("customer", "c_custkey c_acctbal", "c_acctbal >= 5000", lambda: [F.col("c_acctbal") >= 5000]),
+    "filter_string_eq": ("customer", "c_custkey c_mktsegment", "c_mktsegment = 'BUILDING'", lambda: [F.col("c_mktsegment") == "BUILDING"]),
+    "filter_string_order": ("customer", "c_custkey c_mktsegment", "c_mktsegment < 'F'", lambda: [F.col("c_mktsegment") < "F"]),
+    "filter_and_or": ("orders", "o_orderkey o_orderstatus o_totalprice", "(o_orderstatus = 'F' OR o_totalprice > 200000) AND o_orderkey > 100", lambda: [((F.col("o_orderstatus") == "F") | (F.col("o_totalprice") > 200000)) & (F.col("o_orderkey") > 100)]),
+    "filter_not": ("orders", "o_orderkey o_orderstatus", "NOT (o_orderstatus = 'F')", lambda: [fn.not_(F.col("o_orderstatus") == "F")]),
+    "filter_chain": ("orders", "o_orderkey o_orderstatus o_totalprice", "o_totalprice > 50000 AND o_totalprice < 150000 AND o_orderstatus <> 'P'", lambda: [F.col("o_totalprice") > 50000, F.col("o_totalprice") < 150000, F.col("o_orderstatus") != "P"]),
+    "filter_timestamp": ("orders", "o_orderkey o_orderdate", "o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'", lambda: [F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz"), F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz")]),
+    "filter_in_between_like": ("part", "p_partkey p_brand p_size p_type", "p_size IN (1, 5, 9) OR (p_size BETWEEN 20 AND 25 AND p_type LIKE '%A%')", lambda: [F.col("p_size").isin(1, 5, 9) | (F.col("p_size").between(20, 25) & F.col("p_type").like("%A%"))]),
+    "filter_modulo": ("orders", "o_orderkey", "o_orderkey % 7 = 3", lambda: [fn.modulo("o_orderkey", F.lit(7)) == 3]),
+    "filter_bool_column": ("customer", "c_custkey c_acctbal", "c_acctbal < 0", lambda: [(F.col("c_acctbal") < 0) == F.lit(True)]),
 }
 for _name, (_table, _columns, _where, _conditions) in FILTERS.items():
-    add(_name, over_table(_table, _columns, lambda df, cs=_conditions: op.filter_rows(df, *cs)), f"SELECT {_columns.replace(' ', ', ')} FROM {_table} WHERE {_where}")
+    add(_name, over_table(_table, _columns, lambda df, cs=_conditions: op.filter_rows(df, *cs())), f"SELECT {_columns.replace(' ', ', ')} FROM {_table} WHERE {_where}")
 add("is_null", lambda s, d: op.filter_rows(op.join(table("documents", "doc_id")(s, d), table("labels")(s, d), "doc_id", how="left"), F.col("quality").isNull()).select("doc_id"),
     "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NULL")
 add("slice_rows", over_table("orders", "o_orderkey o_totalprice", lambda df: op.slice_rows(df, 10, 30, ["o_orderkey"])), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 10")
@@ -110,33 +110,38 @@ add("join_three", lambda s, d: op.group_by(op.join(op.join(table("nation", "n_na
 # aggregation
 L = "l_returnflag l_linestatus l_quantity l_extendedprice l_discount l_linenumber"
 AGGS = {
-    "sum": (F.round(F.sum("l_quantity"), 2), "round(sum(l_quantity), 2)"), "count": (F.count("l_quantity"), "count(l_quantity)"), "mean": (F.round(F.avg("l_quantity"), 6), "round(avg(l_quantity), 6)"),
-    "min": (F.min("l_quantity"), "min(l_quantity)"), "max": (F.max("l_quantity"), "max(l_quantity)"),
+    "sum": (lambda: F.round(F.sum("l_quantity"), 2), "round(sum(l_quantity), 2)"), "count": (lambda: F.count("l_quantity"), "count(l_quantity)"), "mean": (lambda: F.round(F.avg("l_quantity"), 6), "round(avg(l_quantity), 6)"),
+    "min": (lambda: F.min("l_quantity"), "min(l_quantity)"), "max": (lambda: F.max("l_quantity"), "max(l_quantity)"),
 }
 for _name, (_c, _sql) in AGGS.items():
-    add(f"agg_{_name}", over_table("lineitem", L, lambda df, c=_c, n=_name: op.group_by(df, "l_returnflag").agg(c.alias(f"{n}_l_quantity"))), f"SELECT l_returnflag, {_sql} AS {_name}_l_quantity FROM lineitem GROUP BY 1")
+    add(f"agg_{_name}", over_table("lineitem", L, lambda df, c=_c, n=_name: op.group_by(df, "l_returnflag").agg(c().alias(f"{n}_l_quantity"))), f"SELECT l_returnflag, {_sql} AS {_name}_l_quantity FROM lineitem GROUP BY 1")
 add("agg_shortcut_names", over_table("lineitem", L, lambda df: op.group_by(df, "l_returnflag").agg(fn.min_("l_quantity"), fn.max_("l_extendedprice"), fn.count("l_discount"))),
     "SELECT l_returnflag, min(l_quantity) AS min_l_quantity, max(l_extendedprice) AS max_l_extendedprice, count(l_discount) AS count_l_discount FROM lineitem GROUP BY 1")
 add("agg_count_star", over_table("lineitem", L, lambda df: op.group_by(df, "l_returnflag").agg(F.count("*").alias("n"))), "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
 add("agg_min_max_text", over_table("part", "p_brand p_name", lambda df: op.group_by(df, "p_brand").agg(F.min("p_name").alias("a"), F.max("p_name").alias("b"))), "SELECT p_brand, min(p_name) AS a, max(p_name) AS b FROM part GROUP BY 1")
 add("agg_nulls", lambda s, d: op.group_by(op.join(table("documents", "doc_id lang")(s, d), table("labels")(s, d), "doc_id", how="left"), "toxic").agg(F.count("quality").alias("known"), F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("mean_quality")),
     "SELECT toxic, count(quality) AS known, count(*) AS n, round(avg(quality), 6) AS mean_quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
-MULTI = [F.round(F.sum("l_extendedprice"), 2).alias("total"), F.round(F.avg("l_discount"), 6).alias("discount"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"), F.count("*").alias("n")]
+
+
+def multi() -> list[Column]:
+    return [F.round(F.sum("l_extendedprice"), 2).alias("total"), F.round(F.avg("l_discount"), 6).alias("discount"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"), F.count("*").alias("n")]
+
+
 MULTI_SQL = "round(sum(l_extendedprice), 2) AS total, round(avg(l_discount), 6) AS discount, min(l_quantity) AS least, max(l_quantity) AS most, count(*) AS n"
-add("agg_multi", over_table("lineitem", L, lambda df: op.group_by(df, "l_returnflag").agg(*MULTI)), f"SELECT l_returnflag, {MULTI_SQL} FROM lineitem GROUP BY 1")
-add("agg_multi_key", over_table("lineitem", L, lambda df: op.group_by(df, "l_returnflag", "l_linestatus", "l_linenumber").agg(*MULTI)), f"SELECT l_returnflag, l_linestatus, l_linenumber, {MULTI_SQL} FROM lineitem GROUP BY 1, 2, 3")
-add("agg_global", over_table("lineitem", L, lambda df: op.group_by(df).agg(*MULTI)), f"SELECT {MULTI_SQL} FROM lineitem")
+add("agg_multi", over_table("lineitem", L, lambda df: op.group_by(df, "l_returnflag").agg(*multi())), f"SELECT l_returnflag, {MULTI_SQL} FROM lineitem GROUP BY 1")
+add("agg_multi_key", over_table("lineitem", L, lambda df: op.group_by(df, "l_returnflag", "l_linestatus", "l_linenumber").agg(*multi())), f"SELECT l_returnflag, l_linestatus, l_linenumber, {MULTI_SQL} FROM lineitem GROUP BY 1, 2, 3")
+add("agg_global", over_table("lineitem", L, lambda df: op.group_by(df).agg(*multi())), f"SELECT {MULTI_SQL} FROM lineitem")
 add("agg_sum_if", over_table("lineitem", L, lambda df: op.group_by(df, "l_returnflag").agg(F.sum(fn.if_(F.col("l_discount") > 0.05, F.lit(1), F.lit(0))).alias("n"))), "SELECT l_returnflag, CAST(sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM lineitem GROUP BY 1")
 H = "o_custkey o_totalprice o_orderstatus"
-HAVING: dict[str, tuple[list[Column], Column, str, str]] = {
-    "having_agg": ([F.count("*").alias("n")], F.col("n") > 12, "count(*) AS n", "count(*) > 12"),
-    "having_alias": ([F.round(F.sum("o_totalprice"), 2).alias("total")], F.col("total") > 1_500_000, "round(sum(o_totalprice), 2) AS total", "round(sum(o_totalprice), 2) > 1500000"),
-    "having_arith": ([F.round(F.sum("o_totalprice"), 2).alias("total"), F.count("*").alias("n")], F.col("total") / F.col("n") * 2 > 300_000, "round(sum(o_totalprice), 2) AS total, count(*) AS n", "round(sum(o_totalprice), 2) / count(*) * 2 > 300000"),
-    "having_and_or": ([F.count("*").alias("n"), F.max("o_totalprice").alias("most")], ((F.col("n") > 10) & (F.col("most") > 200_000)) | (F.col("n") == 1), "count(*) AS n, max(o_totalprice) AS most", "(count(*) > 10 AND max(o_totalprice) > 200000) OR count(*) = 1"),
-    "having_functions": ([F.count("*").alias("n"), F.max("o_totalprice").alias("most")], (fn.sqrt(F.col("n")) > 3) & (fn.floor(F.col("most")) > 1000), "count(*) AS n, max(o_totalprice) AS most", "sqrt(count(*)) > 3 AND floor(max(o_totalprice)) > 1000"),
+HAVING: dict[str, tuple[Callable[[], list[Column]], Callable[[], Column], str, str]] = {
+    "having_agg": (lambda: [F.count("*").alias("n")], lambda: F.col("n") > 12, "count(*) AS n", "count(*) > 12"),
+    "having_alias": (lambda: [F.round(F.sum("o_totalprice"), 2).alias("total")], lambda: F.col("total") > 1_500_000, "round(sum(o_totalprice), 2) AS total", "round(sum(o_totalprice), 2) > 1500000"),
+    "having_arith": (lambda: [F.round(F.sum("o_totalprice"), 2).alias("total"), F.count("*").alias("n")], lambda: F.col("total") / F.col("n") * 2 > 300_000, "round(sum(o_totalprice), 2) AS total, count(*) AS n", "round(sum(o_totalprice), 2) / count(*) * 2 > 300000"),
+    "having_and_or": (lambda: [F.count("*").alias("n"), F.max("o_totalprice").alias("most")], lambda: ((F.col("n") > 10) & (F.col("most") > 200_000)) | (F.col("n") == 1), "count(*) AS n, max(o_totalprice) AS most", "(count(*) > 10 AND max(o_totalprice) > 200000) OR count(*) = 1"),
+    "having_functions": (lambda: [F.count("*").alias("n"), F.max("o_totalprice").alias("most")], lambda: (fn.sqrt(F.col("n")) > 3) & (fn.floor(F.col("most")) > 1000), "count(*) AS n, max(o_totalprice) AS most", "sqrt(count(*)) > 3 AND floor(max(o_totalprice)) > 1000"),
 }
 for _name, (_aggs, _having, _list, _sql) in HAVING.items():
-    add(_name, over_table("orders", H, lambda df, a=_aggs, h=_having: op.group_by(df, "o_custkey").agg_with_having(h, *a)), f"SELECT o_custkey, {_list} FROM orders GROUP BY o_custkey HAVING {_sql}")
+    add(_name, over_table("orders", H, lambda df, a=_aggs, h=_having: op.group_by(df, "o_custkey").agg_with_having(h(), *a())), f"SELECT o_custkey, {_list} FROM orders GROUP BY o_custkey HAVING {_sql}")
 add("having_only", over_table("orders", H, lambda df: op.group_by(df, "o_custkey").having(lambda n, most: (n > 8) & (most < 400_000), n=F.count("*"), most=F.max("o_totalprice"))), "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY 1 HAVING count(*) > 8 AND max(o_totalprice) < 400000")
 add("corr", over_table("lineitem", "l_quantity l_extendedprice", lambda df: op.correlation(df, "l_quantity", "l_extendedprice").select(F.round("correlation", 8).alias("correlation"))), "SELECT round(corr(l_quantity, l_extendedprice), 8) AS correlation FROM lineitem")
 add("corr_constant", over_table("lineitem", "l_quantity", lambda df: op.correlation(df.withColumn("one", F.lit(1)), "l_quantity", "one")), "SELECT 0.0::DOUBLE AS correlation")
@@ -187,33 +192,39 @@ add("topk", over_table("orders", "o_orderkey o_totalprice", lambda df: op.head(d
 add("concat_union_all", over_table("orders", "o_orderkey o_orderdate", lambda df: op.concat(df, df.filter("o_orderkey < 100"), df.filter("o_orderkey > 900"))), "SELECT o_orderkey, o_orderdate FROM orders UNION ALL SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey < 100 UNION ALL SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey > 900")
 
 # scalar functions
-SCALARS: dict[str, tuple[str, str, Column, str]] = {
-    "str_upper": ("part", "p_partkey", fn.upper("p_name"), "upper(p_name)"), "str_lower": ("part", "p_partkey", fn.lower("p_type"), "lower(p_type)"), "str_length": ("part", "p_partkey", fn.length("p_name"), "length(p_name)"),
-    "str_trim": ("part", "p_partkey", fn.trim(F.concat(F.lit("  "), "p_name", F.lit(" "))), "trim('  ' || p_name || ' ')"), "str_substring": ("part", "p_partkey", fn.substring("p_name", 2, 4), "substring(p_name, 2, 4)"),
-    "str_concat": ("part", "p_partkey", fn.concat("p_brand", F.lit("-"), "p_size"), "p_brand || '-' || p_size"), "str_concat_null": ("part", "p_partkey", fn.concat("p_brand", F.nullif(F.col("p_size"), F.lit(7))), "p_brand || nullif(p_size, 7)"),
-    "as_string": ("part", "p_partkey", fn.as_string(F.nullif(F.col("p_size"), F.lit(7))), "coalesce(nullif(p_size, 7)::VARCHAR, '')"),
-    "math_neg": ("customer", "c_custkey", fn.neg("c_acctbal"), "-c_acctbal"), "math_abs": ("customer", "c_custkey", fn.abs_("c_acctbal"), "abs(c_acctbal)"), "math_round": ("customer", "c_custkey", fn.round_("c_acctbal"), "round(c_acctbal, 0)"),
-    "math_round_to": ("customer", "c_custkey", fn.round_to(F.col("c_acctbal") / 3, 3), "round(c_acctbal / 3, 3)"), "math_floor": ("customer", "c_custkey", fn.floor("c_acctbal").cast("double"), "floor(c_acctbal)"), "math_ceil": ("customer", "c_custkey", fn.ceil("c_acctbal").cast("double"), "ceil(c_acctbal)"),
-    "math_sqrt": ("customer", "c_custkey", F.round(fn.sqrt(fn.abs_("c_acctbal")), 8), "round(sqrt(abs(c_acctbal)), 8)"), "math_log": ("customer", "c_custkey", F.round(fn.log(fn.abs_("c_acctbal") + 1), 8), "round(ln(abs(c_acctbal) + 1), 8)"),
-    "math_sin": ("customer", "c_custkey", F.round(fn.sin("c_acctbal"), 8), "round(sin(c_acctbal), 8)"), "math_cos": ("customer", "c_custkey", F.round(fn.cos("c_acctbal"), 8), "round(cos(c_acctbal), 8)"),
-    "cast_string": ("part", "p_partkey", fn.cast_string("p_size"), "CAST(p_size AS VARCHAR)"), "cast_int64": ("part", "p_partkey", fn.cast_int64(F.concat("p_size", fn.if_(F.col("p_size") > 25, F.lit("x"), F.lit("")))), "TRY_CAST(p_size || CASE WHEN p_size > 25 THEN 'x' ELSE '' END AS BIGINT)"),
-    "cast_float64": ("part", "p_partkey", fn.cast_float64(F.col("p_size").cast("string")), "TRY_CAST(CAST(p_size AS VARCHAR) AS DOUBLE)"), "cast_bool": ("part", "p_partkey", fn.cast_bool(fn.if_(F.col("p_size") > 25, F.lit("true"), F.lit("no way"))), "TRY_CAST(CASE WHEN p_size > 25 THEN 'true' ELSE 'no way' END AS BOOLEAN)"),
-    "if": ("customer", "c_custkey", fn.if_(F.col("c_acctbal") < 0, F.lit("owes"), F.lit("owns")), "CASE WHEN c_acctbal < 0 THEN 'owes' ELSE 'owns' END"),
-    "case": ("part", "p_partkey", fn.case().when(F.col("p_size") < 10, "small").when(F.col("p_size") < 30, "medium").else_("large"), "CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END"),
-    "coalesce": ("part", "p_partkey", fn.coalesce(F.nullif(F.col("p_size"), F.lit(7)), F.lit(-1)), "coalesce(nullif(p_size, 7), -1)"),
+SCALARS: dict[str, tuple[str, str, Callable[[], Column], str]] = {
+    "str_upper": ("part", "p_partkey", lambda: fn.upper("p_name"), "upper(p_name)"), "str_lower": ("part", "p_partkey", lambda: fn.lower("p_type"), "lower(p_type)"), "str_length": ("part", "p_partkey", lambda: fn.length("p_name"), "length(p_name)"),
+    "str_trim": ("part", "p_partkey", lambda: fn.trim(F.concat(F.lit("  "), "p_name", F.lit(" "))), "trim('  ' || p_name || ' ')"), "str_substring": ("part", "p_partkey", lambda: fn.substring("p_name", 2, 4), "substring(p_name, 2, 4)"),
+    "str_concat": ("part", "p_partkey", lambda: fn.concat("p_brand", F.lit("-"), "p_size"), "p_brand || '-' || p_size"), "str_concat_null": ("part", "p_partkey", lambda: fn.concat("p_brand", F.nullif(F.col("p_size"), F.lit(7))), "p_brand || nullif(p_size, 7)"),
+    "as_string": ("part", "p_partkey", lambda: fn.as_string(F.nullif(F.col("p_size"), F.lit(7))), "coalesce(nullif(p_size, 7)::VARCHAR, '')"),
+    "math_neg": ("customer", "c_custkey", lambda: fn.neg("c_acctbal"), "-c_acctbal"), "math_abs": ("customer", "c_custkey", lambda: fn.abs_("c_acctbal"), "abs(c_acctbal)"), "math_round": ("customer", "c_custkey", lambda: fn.round_("c_acctbal"), "round(c_acctbal, 0)"),
+    "math_round_to": ("customer", "c_custkey", lambda: fn.round_to(F.col("c_acctbal") / 3, 3), "round(c_acctbal / 3, 3)"), "math_floor": ("customer", "c_custkey", lambda: fn.floor("c_acctbal").cast("double"), "floor(c_acctbal)"), "math_ceil": ("customer", "c_custkey", lambda: fn.ceil("c_acctbal").cast("double"), "ceil(c_acctbal)"),
+    "math_sqrt": ("customer", "c_custkey", lambda: F.round(fn.sqrt(fn.abs_("c_acctbal")), 8), "round(sqrt(abs(c_acctbal)), 8)"), "math_log": ("customer", "c_custkey", lambda: F.round(fn.log(fn.abs_("c_acctbal") + 1), 8), "round(ln(abs(c_acctbal) + 1), 8)"),
+    "math_sin": ("customer", "c_custkey", lambda: F.round(fn.sin("c_acctbal"), 8), "round(sin(c_acctbal), 8)"), "math_cos": ("customer", "c_custkey", lambda: F.round(fn.cos("c_acctbal"), 8), "round(cos(c_acctbal), 8)"),
+    "cast_string": ("part", "p_partkey", lambda: fn.cast_string("p_size"), "CAST(p_size AS VARCHAR)"), "cast_int64": ("part", "p_partkey", lambda: fn.cast_int64(F.concat("p_size", fn.if_(F.col("p_size") > 25, F.lit("x"), F.lit("")))), "TRY_CAST(p_size || CASE WHEN p_size > 25 THEN 'x' ELSE '' END AS BIGINT)"),
+    "cast_float64": ("part", "p_partkey", lambda: fn.cast_float64(F.col("p_size").cast("string")), "TRY_CAST(CAST(p_size AS VARCHAR) AS DOUBLE)"), "cast_bool": ("part", "p_partkey", lambda: fn.cast_bool(fn.if_(F.col("p_size") > 25, F.lit("true"), F.lit("no way"))), "TRY_CAST(CASE WHEN p_size > 25 THEN 'true' ELSE 'no way' END AS BOOLEAN)"),
+    "if": ("customer", "c_custkey", lambda: fn.if_(F.col("c_acctbal") < 0, F.lit("owes"), F.lit("owns")), "CASE WHEN c_acctbal < 0 THEN 'owes' ELSE 'owns' END"),
+    "case": ("part", "p_partkey", lambda: fn.case().when(F.col("p_size") < 10, "small").when(F.col("p_size") < 30, "medium").else_("large"), "CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END"),
+    "coalesce": ("part", "p_partkey", lambda: fn.coalesce(F.nullif(F.col("p_size"), F.lit(7)), F.lit(-1)), "coalesce(nullif(p_size, 7), -1)"),
 }
 for _unit in ("year", "month", "day", "hour", "minute", "second"):
-    SCALARS[f"dt_{_unit}"] = ("events", "event_id", getattr(fn, _unit)("ts"), f"{_unit}(ts)")
+    SCALARS[f"dt_{_unit}"] = ("events", "event_id", lambda u=_unit: getattr(fn, u)("ts"), f"{_unit}(ts)")
 for _unit, _n in (("days", 30), ("hours", 5), ("minutes", 90), ("months", 1), ("years", 2)):
     for _verb, _sign in (("add", "+"), ("sub", "-")):
-        SCALARS[f"date_{_verb}_{_unit}"] = ("orders", "o_orderkey", getattr(fn, f"date_{_verb}")("o_orderdate", getattr(fn, _unit)(_n)), f"o_orderdate {_sign} INTERVAL {_n} {_unit.upper()}")
-_START, _START_SQL = F.lit("1996-05-15 12:30:00").cast("timestamp_ntz"), "TIMESTAMP '1996-05-15 12:30:00'"
+        SCALARS[f"date_{_verb}_{_unit}"] = ("orders", "o_orderkey", lambda v=_verb, u=_unit, n=_n: getattr(fn, f"date_{v}")("o_orderdate", getattr(fn, u)(n)), f"o_orderdate {_sign} INTERVAL {_n} {_unit.upper()}")
+_START_SQL = "TIMESTAMP '1996-05-15 12:30:00'"
+
+
+def since(unit: str) -> Column:
+    return fn.date_diff(F.lit("1996-05-15 12:30:00").cast("timestamp_ntz"), "o_orderdate", unit)
+
+
 for _unit in ("days", "hours", "minutes", "seconds"):
-    SCALARS[f"date_diff_{_unit}"] = ("orders", "o_orderkey", fn.date_diff(_START, "o_orderdate", _unit), f"datesub('{_unit[:-1]}', {_START_SQL}, o_orderdate)")
-SCALARS["date_diff_months"] = ("orders", "o_orderkey", fn.date_diff(_START, "o_orderdate", "months"), "(year(o_orderdate) - 1996) * 12 + month(o_orderdate) - 5 - CASE WHEN day(o_orderdate) < 15 THEN 1 ELSE 0 END")
-SCALARS["date_diff_years"] = ("orders", "o_orderkey", fn.date_diff(_START, "o_orderdate", "years"), "year(o_orderdate) - 1996 - CASE WHEN month(o_orderdate) < 5 OR (month(o_orderdate) = 5 AND day(o_orderdate) < 15) THEN 1 ELSE 0 END")
+    SCALARS[f"date_diff_{_unit}"] = ("orders", "o_orderkey", lambda u=_unit: since(u), f"datesub('{_unit[:-1]}', {_START_SQL}, o_orderdate)")
+SCALARS["date_diff_months"] = ("orders", "o_orderkey", lambda: since("months"), "(year(o_orderdate) - 1996) * 12 + month(o_orderdate) - 5 - CASE WHEN day(o_orderdate) < 15 THEN 1 ELSE 0 END")
+SCALARS["date_diff_years"] = ("orders", "o_orderkey", lambda: since("years"), "year(o_orderdate) - 1996 - CASE WHEN month(o_orderdate) < 5 OR (month(o_orderdate) = 5 AND day(o_orderdate) < 15) THEN 1 ELSE 0 END")
 for _name, (_table, _key, _column, _sql) in SCALARS.items():
-    add(_name, lambda s, d, t=_table, k=_key, c=_column: table(t)(s, d).select(k, c.alias("v")), f"SELECT {_key}, {_sql} AS v FROM {_table}")
+    add(_name, lambda s, d, t=_table, k=_key, c=_column: table(t)(s, d).select(k, c().alias("v")), f"SELECT {_key}, {_sql} AS v FROM {_table}")
 add("constant_expression", over_table("orders", "o_orderkey", lambda df: df.select("o_orderkey", (F.lit(2) * 3 + 4).cast("bigint").alias("k"), (F.lit(1) < F.lit(2)).alias("b"))), "SELECT o_orderkey, CAST(2 * 3 + 4 AS BIGINT) AS k, 1 < 2 AS b FROM orders")
 
 

@@ -14,8 +14,9 @@ def read_csv(
 ) -> DataFrame:
     """Reads CSV with the given schema, or infers it in one pass over all rows.
 
-    Without a header, columns are named column_0, column_1, ... Blank cells of typed columns are null.
-    strict fails on rows with a differing number of fields; otherwise missing ones are null. A file
+    Without a header, columns are named column_0, column_1, ... Blank cells of typed columns are null,
+    those of text columns empty.
+    strict fails on rows with a differing number of fields; otherwise missing ones are blank. A file
     with just a header gives text columns and no rows.
     """
     reader = spark.read.options(sep=delimiter, header=header, ignoreLeadingWhiteSpace=skip_initial_space, quote='"', escape='"', multiLine=True, mode="FAILFAST" if strict else "PERMISSIVE", emptyValue="", nullValue="\u0000")
@@ -26,7 +27,7 @@ def read_csv(
     raw = reader.option("inferSchema", False).csv(path)
     if not header:
         raw = raw.toDF(*(f"column_{k}" for k in range(len(raw.columns))))
-    return cast_all(raw, infer_types(raw))
+    return cast_all(raw, infer_types(raw), blank_text=True)
 
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", header: bool = True, single_file: bool = False, mode: str = "errorifexists") -> None:

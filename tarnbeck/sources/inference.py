@@ -31,7 +31,7 @@ def infer_types(df: DataFrame, booleans: list[str] | None = None, force_text: di
         c = F.col(f"`{name}`")
         value = F.when(F.trim(c) != "", F.trim(c))
         for kind, ok in _fits(value, booleans).items():
-            flags.append(F.coalesce(F.bool_and(ok), F.lit(False)).alias(f"{k}_{kind}"))
+            flags.append(F.coalesce(F.bool_and(F.when(value.isNotNull(), ok)), F.lit(False)).alias(f"{k}_{kind}"))
         flags.append(F.coalesce(F.bool_or((force_text or {}).get(name, F.lit(False))), F.lit(False)).alias(f"{k}_text"))
     found = df.agg(*flags).first()
     out = {}
@@ -41,14 +41,14 @@ def infer_types(df: DataFrame, booleans: list[str] | None = None, force_text: di
     return out
 
 
-def cast_all(df: DataFrame, types: dict[str, str], true_words: list[str] | None = None) -> DataFrame:
-    """Columns of text cast to their types; blanks become null where the type is not text."""
+def cast_all(df: DataFrame, types: dict[str, str], true_words: list[str] | None = None, blank_text: bool = False) -> DataFrame:
+    """Columns of text cast to their types; blanks become null where the type is not text. With blank_text, missing texts are empty."""
     out = []
     for name in df.columns:
         c, kind = F.col(f"`{name}`"), types[name]
         value = F.when(F.trim(c) != "", F.trim(c))
         if kind == "string":
-            made = c
+            made = F.coalesce(c, F.lit("")) if blank_text else c
         elif kind == "boolean":
             made = F.when(value.isNotNull(), F.lower(value).isin(true_words or ["true"]))
         else:

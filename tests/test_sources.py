@@ -44,7 +44,7 @@ def test_json(spark, tmp_path):
     df = read_json(spark, put(tmp_path, "a.json", '{"id": 1, "name": "Alice", "active": true}\n\n{"id": 2.5, "x": {"y": 1}, "name": null}\n'))
     assert df.columns == ["active", "id", "name", "x"]
     assert dict(df.dtypes) == {"active": "boolean", "id": "double", "name": "string", "x": "string"}
-    assert rows(df) == [(True, 1.0, "Alice", None), (None, 2.5, None, '{"y":1}')]
+    assert rows(df) == [(True, 1.0, "Alice", None), (None, 2.5, None, '{"y": 1}')]
     mixed = read_json(spark, put(tmp_path, "b.json", '{"v": 1}\n{"v": "2"}\n'))
     assert mixed.dtypes == [("v", "string")]
     flags = read_json(spark, put(tmp_path, "c.json", '{"v": "yes"}\n{"v": "n"}\n'))
