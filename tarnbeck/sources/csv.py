@@ -15,9 +15,8 @@ def read_csv(
     """Reads CSV with the given schema, or infers it in one pass over all rows.
 
     Without a header, columns are named column_0, column_1, ... Blank cells of typed columns are null,
-    those of text columns empty.
-    strict fails on rows with a differing number of fields; otherwise missing ones are blank. A file
-    with just a header gives text columns and no rows.
+    those of text columns empty. strict fails on rows with a differing number of fields; otherwise
+    missing ones are blank. A file with just a header gives text columns and no rows.
     """
     reader = spark.read.options(sep=delimiter, header=header, ignoreLeadingWhiteSpace=skip_initial_space, quote='"', escape='"', multiLine=True, mode="FAILFAST" if strict else "PERMISSIVE", emptyValue="", nullValue="\u0000")
     if comment:
