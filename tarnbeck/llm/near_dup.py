@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, spec: MinHash | None = None) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
     )
-    more = placed.join(sets.select("node", "shingles"), "node").groupBy("region", "i", "j").applyInPandas(lambda rows: block_links(rows, spec), "u long, v long")
+    more = bounded_batches(placed).join(sets.select("node", "shingles"), "node").groupBy("region", "i", "j").applyInPandas(lambda rows: block_links(rows, spec), "u long, v long")
     links = links.unionByName(store.put(more, "more-links"))
 
     found = store.put(components(links, store), "components")

@@ -7,8 +7,10 @@ span of a buffer costs O(1) whatever its length. Nulls read as empty texts.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +54,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """The frame; sees to it that its session hands at most ROWS rows to Python at once."""
+    """The frame; sees to it that its session hands at most ROWS rows to Python at once, and that workers find this package where the driver did."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= ROWS:
         conf.set(key, ROWS)
+    env, top = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if top not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([top, *paths])
     return df
 
 

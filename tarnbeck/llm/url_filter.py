@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnbeck.llm.store import Store
+from tarnbeck.llm.text import bounded_batches
 
 #: Segments of a path that the tree holds; all deeper ones share one wildcard.
 DEPTH = 4
@@ -127,7 +128,7 @@ def judge_templates(counts: DataFrame, purity: Purity, store: Store) -> DataFram
     of the same template over all hosts, and that to the mean of all labelled pages.
     """
     counts = counts.withColumn("parent", F.regexp_replace("template", r"(?s)/[^/]*$", "")).withColumn("branch", F.regexp_extract("template", r"(?s)/([^/]*)$", 1))
-    merged = counts.groupBy("host", "parent").applyInPandas(
+    merged = bounded_batches(counts).groupBy("host", "parent").applyInPandas(
         lambda rows: _merge(rows, purity), "host string, parent string, branch string, branch_bad double, branch_labelled double"
     )
     shapes = counts.groupBy("template").agg(F.sum("bad").alias("shape_bad"), F.sum("labelled").alias("shape_labelled"))
