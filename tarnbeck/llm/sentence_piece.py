@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tarnbeck.llm.id_table import IdTable
-from tarnbeck.llm.text import Hasher, Piece, bounded_batches, concat_ranges, mix, pieces, spans
+from tarnbeck.llm.text import Hasher, Piece, bounded_batches, concat_ranges, give_back, mix, pieces, spans
 
 MARK = "▁"
 #: Units that a worker remembers, and characters of new units that are indexed at once.
-REMEMBER, INDEX = 1_000_000, 1 << 20
+REMEMBER, INDEX = 1_000_000, 1 << 18
 
 #: Bytes of text encoded at once.
-BATCH = 1 << 22
+BATCH = 1 << 20
 
 _coders: dict[str, Coder] = {}
 
@@ -309,6 +309,7 @@ def encode_documents(docs: DataFrame, model: str, keep: list[str] | None = None,
                     cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32())))
                 cols += [pa.array(size), pa.array(crc, pa.int64()), pa.array(back)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, *(["ids"] if with_ids else []), "n_tokens", "ids_crc32", "round_trip"])
+            give_back()
 
     columns = ["doc_id", *(c for c in keep if c not in ("doc_id", "text"))]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)

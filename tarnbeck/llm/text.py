@@ -7,6 +7,7 @@ span of a buffer costs O(1) whatever its length. Nulls read as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -65,6 +66,15 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def give_back() -> None:
+    """Returns freed memory to the system. Workers outlive their tasks, and glibc keeps what the largest arrays once took."""
+    if _trim:
+        _trim(0)
+
+
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
