@@ -101,6 +101,21 @@ for _strategy in ("broadcast", "merge", "hash"):
     add(f"join_{'shuffle_hash' if _strategy == 'hash' else _strategy}", joined("inner", _strategy), f"SELECT {JOINED} FROM {_SIDES.format('inner')}")
 for _how in ("semi", "anti"):
     add(f"join_{_how}", joined(_how), f"SELECT c_custkey, c_name, c_nationkey FROM {_SIDES.format(_how)}")
+# the same joins over the whole tables; c_key and o_key are null once on either side, so both have rows without a partner
+WHOLE = "c_custkey, c_name, c_nationkey, c_key, o_orderkey, o_custkey, o_totalprice, o_key"
+
+
+def joined_whole(how: str, strategy: str | None = None) -> Query:
+    return lambda s, d: op.join(op.with_column(table("customer", CU)(s, d), "c_key", F.nullif(F.col("c_custkey"), F.lit(1))), op.with_column(table("orders", OR)(s, d), "o_key", F.nullif(F.col("o_custkey"), F.lit(2))), "c_key", "o_key", how, strategy)
+
+
+_WHOLE_SIDES = f"(SELECT {CU.replace(' ', ', ')}, nullif(c_custkey, 1) AS c_key FROM customer) c {{}} JOIN (SELECT {OR.replace(' ', ', ')}, nullif(o_custkey, 2) AS o_key FROM orders) o ON c_key = o_key"
+for _how in ("inner", "left", "right", "full"):
+    add(f"join_whole_{_how}", joined_whole(_how), f"SELECT {WHOLE} FROM {_WHOLE_SIDES.format(_how)}")
+for _strategy in ("broadcast", "merge", "hash"):
+    add(f"join_whole_{'shuffle_hash' if _strategy == 'hash' else _strategy}", joined_whole("inner", _strategy), f"SELECT {WHOLE} FROM {_WHOLE_SIDES.format('inner')}")
+for _how in ("semi", "anti"):
+    add(f"join_whole_{_how}", joined_whole(_how), f"SELECT c_custkey, c_name, c_nationkey, c_key FROM {_WHOLE_SIDES.format(_how)}")
 add("join_multi_key", lambda s, d: op.join(table("supplier", "s_suppkey s_nationkey")(s, d), table("customer", "c_custkey c_nationkey")(s, d), ["s_suppkey", "s_nationkey"], ["c_custkey", "c_nationkey"]),
     "SELECT s_suppkey, s_nationkey, c_custkey, c_nationkey FROM supplier JOIN customer ON s_suppkey = c_custkey AND s_nationkey = c_nationkey")
 add("join_dup_cols", lambda s, d: op.join(table("labels")(s, d), table("documents", "doc_id lang")(s, d), "doc_id"), "SELECT l.doc_id, quality, toxic, d.doc_id AS doc_id_right, lang FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
