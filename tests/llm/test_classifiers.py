@@ -110,6 +110,22 @@ def test_probabilities_sum_to_one():
         assert abs(np.exp(model.log(shared, vocab, c, toxicity.bigram(c, vocab))).sum() - 1) < 0.02
 
 
+def test_rare_words_keep_their_counts(spark, monkeypatch):
+    """A word has its own frequency however large the corpus is beside it, and words that no class model uses leave the evidence as it is."""
+    monkeypatch.setattr(toxicity, "SHARED", 4, raising=False)  # stands for a corpus in which the word is rarer than the old cut
+    docs = [(k, f"plain text of number {k} " + ("vile " if k < 40 else "kind ") + "and so on") for k in range(80)]
+    labels = spark.createDataFrame([(k, int(k < 40)) for k in range(80)], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    (piece,) = pieces(pa.array(["vile", "kind"]))
+    vile, kind = toxicity.expressions(piece)[0]
+    assert np.allclose(model.frequency(np.array([vile, kind])), 40 / (80 * 9))
+    (piece,) = pieces(pa.array(["plain unseen vile words"]))
+    word, _, first = toxicity.expressions(piece)
+    before = model.evidence(word, first)
+    model.rest *= 1000
+    assert np.allclose(model.evidence(word, first), before)
+
+
 def test_bradley_terry_recovers_an_order():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 3))
