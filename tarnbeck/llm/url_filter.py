@@ -1,14 +1,15 @@
 """URL filters by a path-template tree.
 
 Per host, a path is generalised segment by segment: a segment of digits, of hexadecimal digits or with
-a digit in it takes a typed wildcard, and where the values that remain below one parent are nearly all
-different the whole branching becomes one wildcard. Sibling branches whose labelled shares of bad
+a digit in it takes a typed wildcard, and where the values that remain below one parent are many or nearly
+all different, those with few labelled pages, whose share of bad ones does not differ significantly from
+their siblings', become one wildcard. Sibling branches whose labelled shares of bad
 pages do not differ significantly are merged. A template is rejected if its labelled purity, smoothed
 towards its branch, its shape over all hosts and the mean of all, reaches a threshold.
 
 The tree is built from counts: pages are aggregated to (host, template) before anything is shuffled,
-and what is grouped in one task is the branches below one parent, of which there are at most
-MOST_BRANCHES after generalisation.
+and what is grouped in one task is the branches below one parent after generalisation: beyond MOST_BRANCHES
+of them, only those with labelled pages, a name and two numbers each.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 from tarnbeck.llm.store import Store
 from tarnbeck.llm.text import bounded_batches
 
-#: Segments of a path that the tree holds; all deeper ones share one wildcard.
-DEPTH = 4
-#: Distinct values below one parent; beyond it they become one wildcard.
+#: Distinct values below one parent; beyond it the sparse and similar ones become one wildcard.
 MOST_BRANCHES = 64
+#: Labelled pages that keep a branch of its own at any number of siblings.
+ENOUGH = 8
 
 
 @dataclass(frozen=True)
@@ -158,30 +159,37 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labels: DataF
         .withColumn("by_rule", match_rules(host, path, rules, lambda r: r.verdict))
     )
     segments = F.split(F.regexp_replace("path", "(?s)^/", ""), "/", -1)
-    shown = F.transform(F.slice(segments, 1, DEPTH), generalise)
-    found = found.withColumn("parts", F.when(F.size(segments) > DEPTH, F.concat(shown, F.array(F.lit("{rest}")))).otherwise(shown))
+    found = found.withColumn("parts", F.transform(segments, generalise))
     if labels is not None:
         found = found.join(labels.select("page_id", F.col("bad").cast("int").alias("bad")).filter("page_id is not null").groupBy("page_id").agg(F.max("bad").alias("bad")), "page_id", "left")
     else:
         found = found.withColumn("bad", (F.col("by_rule") == "block").cast("int"))
     found = store.put(found, "pages")
 
-    # level by level, a parent with too many or nearly all different branches gets one wildcard
-    tree = store.put(found.groupBy("host", "parts").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad")), "paths")
-    tree = tree.withColumn("raw", F.col("parts")).withColumn("template", F.lit(""))
-    for depth in range(DEPTH + 1):
-        here = F.get("parts", F.lit(depth))
-        level = tree.withColumn("branch", here)
-        parents = (
-            level.filter("branch is not null").groupBy("host", "template", "branch").agg(F.sum("n").alias("n"))
-            .groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"))
-        )
+    # level by level, sparse and similar branches of a parent with too many or nearly all different ones get one wildcard
+    tree = found.groupBy("host", "parts").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"))
+    tree = store.put(tree.withColumn("raw", F.col("parts")).withColumn("template", F.lit("")), "paths")
+    depth = 0
+    while depth < (tree.agg(F.max(F.size("parts"))).first()[0] or 0):
+        level = tree.withColumn("branch", F.get("parts", F.lit(depth)))
+        branches = level.filter("branch is not null").groupBy("host", "template", "branch").agg(F.count("*").alias("paths"), *(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
+        parents = branches.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("paths").alias("all_paths"), F.sum("n").alias("all"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         many = (F.col("kinds") > MOST_BRANCHES) | ((F.col("kinds") > 8) & (F.col("kinds") > 0.5 * F.col("all")))
-        wild = parents.select("host", "template", many.alias("many"))
-        tree = level.join(wild, ["host", "template"], "left").withColumn(
-            "template", F.when(F.col("branch").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("many"), F.lit("*")).otherwise(F.col("branch"))))
-        ).drop("branch", "many")
-    tree = store.put(tree.select("host", "raw", "template", "n", "labelled", "bad"), "tree")
+        others, others_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
+        p = (F.col("all_bad") + 1) / (F.col("all_labelled") + 2)
+        error = F.sqrt(p * (1 - p) * (1 / F.nullif("labelled", F.lit(0)) + 1 / F.nullif(others, F.lit(0))))
+        apart = F.abs(F.col("bad") / F.nullif("labelled", F.lit(0)) - others_bad / F.nullif(others, F.lit(0))) > purity.similar * error
+        own = (F.col("labelled") >= ENOUGH) | F.coalesce(apart, F.lit(False))
+        shown = branches.join(parents, ["host", "template"]).select("host", "template", "branch", (many & ~own).alias("wild"), (F.col("all_paths") == 1).alias("alone"))
+        here = F.concat("template", F.lit("/"), F.when(F.col("wild"), F.lit("*")).otherwise(F.col("branch")))
+        rest = F.concat("template", F.lit("/"), F.array_join(F.slice("parts", depth + 1, F.size("parts")), "/"))  # the only path below a parent has no more to decide
+        tree = level.join(shown, ["host", "template", "branch"], "left").select(
+            "host", "raw", "n", "labelled", "bad",
+            F.when(F.col("alone"), F.slice("parts", 1, depth)).otherwise(F.col("parts")).alias("parts"),
+            F.when(F.col("branch").isNull(), F.col("template")).when(F.col("alone"), rest).otherwise(here).alias("template"),
+        )
+        tree = store.put(tree, "level")
+        depth += 1
     counts = tree.groupBy("host", "template").agg(*(F.sum(c).cast("double").alias(c) for c in ("n", "labelled", "bad")))
     judged = judge_templates(store.put(counts, "counts"), purity, store)
     by_path = tree.select("host", F.col("raw").alias("parts"), "template").join(judged, ["host", "template"])

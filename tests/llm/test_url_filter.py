@@ -57,6 +57,27 @@ def test_bad_templates_are_rejected(spark):
     assert {out[k].template for k in range(200, 216)} == {"/*/x"}  # all different: one wildcard
 
 
+def test_bad_section_among_many(spark):
+    """A wholly bad section stays its own branch at any number of sections, and does not mark unlabelled ones."""
+    names = ["casino", *(f"{a}{b}" for a in "abcdefgh" for b in "ijklmnop"), "unknown"]
+    assert len(names) > url_filter.MOST_BRANCHES
+    rows = [(100 * s + k, f"http://a.net/{name}/{k}") for s, name in enumerate(names) for k in range(20)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, u in rows if "unknown" not in u], "page_id long, bad int")
+    out = {r.page_id: r for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string"), (), labels).collect()}
+    assert all(out[i].verdict == ("block" if i < 100 else "allow") for i, _ in rows)
+    only = labels.filter("bad = 1")
+    out = {r.page_id: r for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string"), (), only).collect()}
+    assert out[0].template == "/casino/{n}" and out[100].template == "/*/{n}"
+
+
+def test_paths_at_their_full_depth(spark):
+    rows = [(k, f"http://a.net/a/b/c/d/e/{'bad' if k < 40 else 'good'}/{k}") for k in range(80)] + [(80, "http://b.net/a/b/c/d/e/f/g/1")]
+    labels = spark.createDataFrame([(k, int(k < 40)) for k in range(80)], "page_id long, bad int")
+    out = {r.page_id: r for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string"), (), labels).collect()}
+    assert out[0].template == "/a/b/c/d/e/bad/{n}" and out[80].template == "/a/b/c/d/e/f/g/{n}"
+    assert all(out[k].verdict == ("block" if k < 40 else "allow") for k in range(80))
+
+
 def test_merge_of_branches():
     import pandas as pd
 
