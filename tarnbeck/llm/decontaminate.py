@@ -1,8 +1,8 @@
 """Benchmark decontamination: n-gram seeds join documents to test items, Smith-Waterman alignment scores the passages.
 
-Words are runs of letters and digits, lower-cased. A seed is an n-gram of a test item; its rarity is
-the share of items that have it, so a phrase common to many items weighs little, while a leaked
-passage keeps its seeds however many documents repeat it. Each document is read once: its n-grams are
+Words are runs of letters and digits, lower-cased. A seed is an n-gram of a test item. Any passage with
+a seed of an item is aligned with it, however many items share the seed and however many documents
+repeat the passage; the alignment alone decides. Each document is read once: its n-grams are
 looked up in the sorted seeds, hits of one item that lie near one diagonal form a passage, and the
 passage is aligned with the item. Only confirmed passages leave a task. Items are broadcast in groups
 of a stated size, so a larger benchmark costs more passes, not more memory.
@@ -32,7 +32,7 @@ CELLS = 1 << 22
 
 @dataclass(frozen=True)
 class Leak:
-    """seed: words in a seed. weight: least sum of seed weights, 1 / items that share the seed, of a passage to align.
+    """seed: words in a seed. weight: least number of matching seeds of a passage to align.
     score: least alignment score as a share of the item's own. match, mismatch, gap: the alignment's costs."""
 
     seed: int = 3
@@ -52,11 +52,11 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
 
 @dataclass
 class Items:
-    """Test items and the index of their seeds: ascending seed hashes with item, place and weight. An item shorter than a seed is its own seed, of whatever length it has."""
+    """Test items and the index of their seeds: ascending seed hashes with item and place. An item shorter than a seed is its own seed, of whatever length it has."""
 
     ids: list
     words: list[np.ndarray]
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, ids: list, texts: list[str | None], spec: Leak) -> Items:
@@ -73,17 +73,14 @@ class Items:
         for n, parts in found.items():
             keys, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((at, item, keys))
-            keys, item, at = keys[order], item[order], at[order]
-            pairs = np.unique(np.stack([keys, item.astype(np.uint64)]), axis=1)[0]
-            kinds, owners = np.unique(pairs, return_counts=True)
-            seeds[n] = keys, item, at, 1.0 / owners[np.searchsorted(kinds, keys)]
+            seeds[n] = keys[order], item[order], at[order]
         return cls(ids, words, seeds)
 
 
 def hits(items: Items, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, item, place in the piece, place in the item, weight) of all seeds found."""
+    """(row, item, place in the piece, place in the item) of all seeds found."""
     out = []
-    for n, (keys, item, at, weight) in items.seeds.items():
+    for n, (keys, item, at) in items.seeds.items():
         g, place = grams(hashes, first, n)
         lo = np.searchsorted(keys, g)
         ok = np.flatnonzero((lo < len(keys)) & (keys[np.minimum(lo, len(keys) - 1)] == g))
@@ -94,30 +91,30 @@ def hits(items: Items, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarra
             some = count > k
             at_k = lo[some] + k
             p = place[ok[some]]
-            out.append((np.searchsorted(first, p, side="right") - 1, item[at_k], p, at[at_k], np.full(len(p), 1.0) if n < 3 else weight[at_k]))
+            out.append((np.searchsorted(first, p, side="right") - 1, item[at_k], p, at[at_k]))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.float64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def passages(items: Items, hashes: np.ndarray, first: np.ndarray, spec: Leak) -> tuple[np.ndarray, ...]:
     """(row, item, begin, end) of parts of the texts that may hold an item: hits of one item no further apart than its length, widened to the item's length on either side."""
-    row, item, place, at, weight = hits(items, hashes, first)
+    row, item, place, at = hits(items, hashes, first)
     if not len(row):
         return row, item, place, at
     size = np.array([len(w) for w in items.words])
     order = np.lexsort((place, item, row))
-    row, item, place, at, weight = row[order], item[order], place[order], at[order], weight[order]
+    row, item, place, at = row[order], item[order], place[order], at[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (place[1:] - place[:-1] > size[item[1:]])
     start = np.flatnonzero(new)
-    total = np.add.reduceat(weight, start)
+    total = np.diff(np.append(start, len(row)))
     last = np.append(start[1:], len(row)) - 1
     row, item = row[start], item[start]
     lo, hi = place[start] - at[start] - 8, place[last] + size[item] - at[last] + 8
     lo = np.minimum(np.maximum(lo, first[row]), place[start])
     hi = np.maximum(np.minimum(hi, first[row + 1]), np.minimum(place[last] + spec.seed, first[row + 1]))
-    ok = total >= np.minimum(spec.weight, 1.0)
+    ok = total >= spec.weight
     return row[ok], item[ok], lo[ok], hi[ok]
 
 

@@ -81,3 +81,14 @@ def test_short_item():
     for _, _, h, first in decontaminate.word_hashes(pa.array(["x alpha beta y", "alpha x beta"])):
         row, item, share = decontaminate.confirmed(items, h, first, Leak())
         assert row.tolist() == [0] and share.tolist() == [1.0]
+
+
+def test_repeated_items():
+    """An exact copy of an item, and an edited one, are found however many rows hold the item."""
+    text = " ".join(f"word{k}" for k in range(15))
+    edited = text.replace("word4 ", "other ").replace("word9 ", "other ")
+    for copies in (1, 13, 14, 40):
+        items = decontaminate.Items.of(list(range(copies)), [text] * copies, Leak())
+        for _, _, h, first in decontaminate.word_hashes(pa.array([f"before {text} after", f"before {edited} after", "nothing of it"])):
+            row, item, _ = decontaminate.confirmed(items, h, first, Leak())
+            assert sorted(zip(row.tolist(), item.tolist(), strict=True)) == [(r, k) for r in (0, 1) for k in range(copies)]
