@@ -33,10 +33,14 @@ class Store:
         df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Removes a table that nothing reads any more."""
+    def drop(self, *names: str) -> None:
+        """Removes tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
-        top = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/*-{name}")) or []:
-            fs.delete(found.getPath(), True)
+        fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for name in names:
+            for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/*-{name}")) or []:
+                fs.delete(found.getPath(), True)
+
+    def drop_all(self) -> None:
+        """Removes every table, for an operator whose result reads none of them."""
+        self.drop("*")

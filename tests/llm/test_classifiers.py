@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnbeck.llm import language_id, quality_classifier, toxicity
 from tarnbeck.llm.queries import op4_toxicity, op8_language_id, op9_quality_classifier
+from tarnbeck.llm.store import Store
 from tarnbeck.llm.text import pieces
 from tarnbeck.llm.training import remainder, sample_labels
 
@@ -97,33 +98,102 @@ def test_toxic_words_are_found(spark, documents):
     assert s[1] < 0.7 <= s[2]
 
 
-def test_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    vocab = np.sort(rng.integers(2, 1 << 63, 50).astype(np.uint64))
-    text = [rng.choice(vocab, 60) for _ in range(30)]
-    flat = np.concatenate(text)
-    before = np.append(np.uint64(1), flat[:-1])
-    model = toxicity.ClassModel(flat, before, toxicity.bigram(before, flat), vocab[:10], toxicity.bigram(before, flat)[:20])
-    shared = np.full(50, 1 / 50)
-    for context in (np.uint64(1), vocab[3], vocab[20]):
-        c = np.full(50, context)
-        assert abs(np.exp(model.log(shared, vocab, c, toxicity.bigram(c, vocab))).sum() - 1) < 0.02
-
-
-def test_rare_words_keep_their_counts(spark, monkeypatch):
-    """A word has its own frequency however large the corpus is beside it, and words that no class model uses leave the evidence as it is."""
-    monkeypatch.setattr(toxicity, "SHARED", 4, raising=False)  # stands for a corpus in which the word is rarer than the old cut
-    docs = [(k, f"plain text of number {k} " + ("vile " if k < 40 else "kind ") + "and so on") for k in range(80)]
-    labels = spark.createDataFrame([(k, int(k < 40)) for k in range(80)], "doc_id long, toxic int")
-    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels)
-    (piece,) = pieces(pa.array(["vile", "kind"]))
-    vile, kind = toxicity.expressions(piece)[0]
-    assert np.allclose(model.frequency(np.array([vile, kind])), 40 / (80 * 9))
-    (piece,) = pieces(pa.array(["plain unseen vile words"]))
-    word, _, first = toxicity.expressions(piece)
-    before = model.evidence(word, first)
-    model.rest *= 1000
-    assert np.allclose(model.evidence(word, first), before)
+def counted(texts, slack=toxicity.SLACK):
+    """Kneser-Ney of lists of words, counted plainly: a function to the probability of a word after another. The sample is all there is, or `everything`."""
+
+    def grams(rows):
+        return [(b, w, k) for k, t in enumerate(rows) for b, w in zip([None, *t], t, strict=False)]
+
+    def model(rows, everything):
+        own, every = grams(rows), grams(everything)
+        known = {w for t in texts for w in t}
+        name = lambda w: w if w is None or w in known else "?"
+        lowest = {}
+        for _, w in {(name(b), name(w)) for b, w, _ in every}:
+            lowest[w] = lowest.get(w, 0) + 1
+        lowest["?"] = max(lowest.get("?", 0), 0.5)
+
+        def kept(count, expression, z):
+            mean = len({k for b, w, k in every if expression(b, w)}) * len(rows) / len(everything)
+            return count * max(1 - (mean + z * (mean + 1) ** 0.5) / len({k for b, w, k in own if expression(b, w)}), 0)
+
+        follows = {w: len({b for b, x, _ in own if x == w}) for _, w, _ in own}
+        word = {w: kept(n, lambda b, x, w=w: x == w, slack[0]) for w, n in follows.items()}
+        free = 1 - sum(word.values()) / sum(follows.values())
+        pairs = {(b, w): kept(sum((b, w) == (x, y) for x, y, _ in own), lambda x, y, b=b, w=w: (x, y) == (b, w), slack[1]) for b, w, _ in own}
+
+        def probability(b, w):
+            low = word.get(w, 0) / sum(follows.values()) + free * lowest.get(name(w), 0) / sum(lowest.values())
+            seen = max(sum(x == b for x, _, _ in own), 1)
+            return pairs.get((b, w), 0) / seen + (1 - sum(n for (x, _), n in pairs.items() if x == b) / seen) * low
+
+        return probability
+
+    return model
+
+
+def toy(seed=0):
+    """Texts of two classes, and more that have no label; some words and pairs are telling."""
+    rng = np.random.default_rng(seed)
+    plain = [f"w{k}" for k in range(14)]
+    toxic = [[*rng.choice(plain, 9), "vile", *rng.choice(plain, 3), "you", "rat"] for _ in range(30)]
+    ordinary = [[*rng.choice(plain, 12), *(["kind"] if k % 2 else [])] for k in range(40)]
+    return [list(map(str, t)) for t in toxic], [list(map(str, t)) for t in ordinary], [[*map(str, rng.choice(plain, 6)), f"x{k}"] for k in range(50)]
+
+
+def hashed(texts):
+    (piece,) = pieces(pa.array([" ".join(t) for t in texts]))
+    return toxicity.hashed_words(piece)
+
+
+def test_kneser_ney_against_plain_counts(spark):
+    """Probabilities and evidence equal a plain count of all documents; the shared counts come from the job itself."""
+    toxic, ordinary, rest = toy()
+    slack = (0.5, 0.5)
+    (tw, tf), (ow, of) = hashed(toxic), hashed(ordinary)
+    words = np.unique(np.concatenate([tw, ow]))
+    pairs = np.unique(np.concatenate([toxicity.bigram(toxicity.befores(w, f), w) for w, f in ((tw, tf), (ow, of))]))
+    docs = spark.createDataFrame([(" ".join(t),) for t in (*toxic, *ordinary, *rest)], "text string").repartition(3)
+    shared = toxicity.shared_counts(docs, Store(spark, "test"), words, pairs)
+    model = toxicity.ToxicityModel(toxicity.ClassModel(tw, tf, shared, slack), toxicity.ClassModel(ow, of, shared, slack))
+    plain = counted([*toxic, *ordinary], slack)
+    known = sorted({w for t in (*toxic, *ordinary) for w in t})
+    code = {w: hashed([[w]])[0][0] for w in [*known, "never"]}
+    for rows, got in ((toxic, model.toxic), (ordinary, model.ordinary)):
+        want = plain(rows, [*toxic, *ordinary, *rest])
+        assert got.own_pairs.values.max() > 0 or rows is ordinary
+        for b in [None, "you", "w3", "never"]:
+            all_words = np.array([code[w] for w in [*known, "never"]])
+            p = got.probability(all_words, np.full(len(all_words), 1 if b is None else code[b], np.uint64))
+            assert np.allclose(p, [want(b, w) for w in [*known, "never"]], rtol=0, atol=1e-9)
+            assert abs(p.sum() - 1) < 1e-9
+    a, b = plain(toxic, [*toxic, *ordinary, *rest]), plain(ordinary, [*toxic, *ordinary, *rest])
+    for texts in (toxic[:3], ordinary[:3], rest[:3], [["vile"], ["never", "you", "rat"]]):
+        want = [sum(np.log(a(x, w) / b(x, w)) for x, w in zip([None, *t], t, strict=False)) / (len(t) + toxicity.ADDED) for t in texts]
+        assert np.allclose(model.evidence(*hashed(texts)), want, rtol=0, atol=1e-9)
+        assert np.allclose(model.compact().evidence(*hashed(texts)), want, rtol=0, atol=1e-9)
+
+
+def test_all_expressions_are_counted():
+    """The class models hold every word and pair of their sample, and shared counts do not depend on how tasks hand them on."""
+    texts = toy(1)[0]
+    w, f = hashed(texts)
+    pairs = toxicity.bigram(toxicity.befores(w, f), w)
+    n = len(np.unique(w))
+    shared = toxicity.Shared(np.unique(w), np.ones(n + 1), toxicity.in_rows(w, f), toxicity.in_rows(pairs, f), len(texts))
+    model = toxicity.ClassModel(w, f, shared)
+    assert len(model.follows.keys) == n and len(model.pairs.keys) == len(np.unique(pairs)) and model.pairs.values.sum() == len(w)
+
+
+def test_shared_counts_handed_on_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(" ".join(t),) for part in toy(2) for t in part] + [(None,), ("",)], "text string").repartition(2)
+    w, f = hashed(toy(2)[0])
+    asked = np.unique(w), np.unique(toxicity.bigram(toxicity.befores(w, f), w))
+    one = toxicity.shared_counts(docs, Store(spark, "test"), *asked)
+    monkeypatch.setattr(toxicity, "HELD", 1)
+    two = toxicity.shared_counts(docs, Store(spark, "test"), *asked)
+    assert (one.follows == two.follows).all() and (one.word_docs.values == two.word_docs.values).all() and one.docs == two.docs == 122
+    assert (one.pair_docs.values == two.pair_docs.values).all() and one.follows[:-1].min() > 0
 
 
 def test_bradley_terry_recovers_an_order():
