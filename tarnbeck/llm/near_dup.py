@@ -3,13 +3,16 @@
 How the work stays bounded when one group holds a large share of all documents:
 
 * texts with equal shingle sets form one class first, by partial aggregation;
-* a bucket of classes never yields its pairs: every member is compared with the bucket's smallest
-  member, so candidates are linear in bucket size;
-* members that this leaves in different components of one bucket are compared in blocks of BLOCK
-  against BLOCK, inside tasks, by exact intersection counts; only the links of a spanning forest
-  leave a task, and a task holds two blocks at most.
-
-No table of links, components or signatures reaches the driver; it sees two numbers per round.
+* a bucket of classes never yields its pairs: every member is compared with one pivot, so candidates
+  are linear in bucket size; signatures drop most of them before any set is read;
+* members that this leaves in different components of one bucket are joined exactly: similar sets must
+  share one of their rarest shingles, near the front of both, so only classes that do are compared, and
+  only across components. Texts that have a long common part and else differ share no rare shingle, so
+  a thousand of them make no candidates;
+* a key with many rows, be it a bucket, a pivot, a shingle, the hub of a star or a class of copies, is split:
+  there are fewer than KEYS such keys, so what goes with them is broadcast, or dealt out under a salt.
+
+No table of links, components or signatures reaches the driver; it sees a few numbers per round.
 """
 
 from __future__ import annotations
@@ -20,18 +23,20 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tarnbeck.llm.store import Store
 from tarnbeck.llm.text import Piece, bounded_batches, grams, mix, pieces, words
 
-#: Classes on either side of an exact comparison.
-BLOCK = 256
-#: Distinct shingles compared at once by matrix product.
-COLUMNS = 4096
+#: A key with more than rows / KEYS rows, and more than HOT, is split off; so there are fewer than KEYS of them.
+KEYS, HOT = 4096, 256
+#: Rows of a shingle on either side that one task pairs.
+BLOCK = 4096
+#: Places that shingles are counted in to tell the rare ones; the counts are broadcast.
+PLACES = 1 << 18
 #: Shingles hashed at once.
 CHUNK = 1024
 
@@ -102,8 +107,14 @@ def _u64(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def set_names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums of hashes, which with its size name a set."""
+    h1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
+    return h1, np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64)
+
+
 def sketch(docs: DataFrame, spec: MinHash) -> DataFrame:
-    """doc_id, n_shingles, h1 and h2 (which name the set), bands (hashes of the minima of each band)."""
+    """doc_id, n_shingles, h1 and h2 (which name the set), sig (the low bytes of the minima), bands (hashes of the minima of each band)."""
     (bands, rows), n = spec.layout, spec.minima
     weight = mix(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -112,135 +123,196 @@ def sketch(docs: DataFrame, spec: MinHash) -> DataFrame:
             for piece in pieces(batch.column(1)):
                 sets = shingle_sets(piece, spec.size)
                 size = np.array([len(s) for s in sets], np.int64)
-                h1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
-                h2 = np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64)
-                least = np.array([minima(s, n) for s in sets], np.uint64).reshape(len(sets), bands, rows)
-                band = mix((least >> np.uint64(32)) * weight).sum(axis=2, dtype=np.uint64)
+                h1, h2 = set_names(sets)
+                least = np.array([minima(s, n) for s in sets], np.uint64).reshape(len(sets), bands, rows) >> np.uint64(32)
+                sig = [x.tobytes() for x in least.astype(np.uint8)]
+                band = mix((least * weight).sum(axis=2, dtype=np.uint64))
                 band = mix(band + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), _u64(band.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, len(piece)), pa.array(size), _u64(h1), _u64(h2), lists], names=["doc_id", "n_shingles", "h1", "h2", "bands"])
+                cols = [batch.column(0).slice(piece.lo, len(piece)), pa.array(size), _u64(h1), _u64(h2), pa.array(sig, pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "h1", "h2", "sig", "bands"])
 
-    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, spec: MinHash) -> DataFrame:
-    """node, sig (the low bytes of the minima), shingles (the set, ascending)."""
+    """node (the set's first name) and shingles (the set, ascending) of every text that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch.column(1)):
-                sets = shingle_sets(piece, spec.size)
-                sig = [(minima(s, spec.minima) >> np.uint64(32)).astype(np.uint8).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(piece.lo, len(piece)), pa.array(sig, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "sig", "shingles"]
-                )
+            for piece in pieces(batch.column(0)):
+                sets = [s for s in shingle_sets(piece, spec.size) if len(s)]
+                yield pa.RecordBatch.from_arrays([_u64(set_names(sets)[0]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+
+    return bounded_batches(docs).select("text").mapInArrow(run, "node long, shingles binary")
+
+
+def join_split(left: DataFrame, right: DataFrame, key: str, size: str, rows: int) -> DataFrame:
+    """left joined with right, which has one row a key, and in `size` how many rows of left that key has; rows: those of left.
+
+    The rows of left whose key has more than rows / KEYS of them, fewer than KEYS keys, meet theirs by
+    broadcast and are never dealt out by key; all others are.
+    """
+    most = max(HOT, rows // KEYS)
+    hot = right.filter(F.col(size) > most)
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.filter(F.col(size) <= most), key)
+    return left.join(F.broadcast(hot), key).unionByName(cold)
 
-    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, sig binary, shingles binary")
+
+def with_side(pairs: DataFrame, side: str, table: DataFrame, column: str, rows: int) -> DataFrame:
+    """pairs with `column` of the table for their `side`, as <column>_<side>. A node in many pairs has them dealt out under a salt, and its row of the table copied as often."""
+    most = max(HOT, rows // KEYS)
+    hot = pairs.groupBy(side).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(side, F.ceil(F.col("n") / most).cast("int").alias("salts"))
+    hot = F.broadcast(hot)  # fewer than KEYS rows
+    other = "v" if side == "u" else "u"
+    left = pairs.join(hot, side, "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.col("salts")).cast("int"))).drop("salts")
+    right = table.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")).join(hot, side, "left")
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return left.join(right, [side, "salt"]).drop("salt")
 
 
 def similar(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * common >= percent * (a + b - common)
 
 
-def verify(pairs: DataFrame, spec: MinHash) -> DataFrame:
-    """Of pairs (u, v) with both signatures and sets, those that are similar: first by signature, then on the full sets."""
+def confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, spec: MinHash, store: Store) -> DataFrame:
+    """Of distinct pairs (u, v) those that are similar: by their signatures first, then on the full sets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v, sig_u, sig_v, set_u, set_v = batch.columns
+            u, v, sig_u, sig_v = batch.columns
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(batch.num_rows, spec.minima) for c in (sig_u, sig_v))
+            keep = pa.array(np.count_nonzero(x == y, axis=1) >= spec.agree)
+            yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], names=["u", "v"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, set_u, set_v = batch.columns
             keep = np.zeros(batch.num_rows, bool)
             for k in range(batch.num_rows):
-                x, y = np.frombuffer(sig_u[k].as_buffer(), np.uint8), np.frombuffer(sig_v[k].as_buffer(), np.uint8)
-                if np.count_nonzero(x == y) >= spec.agree:
-                    a, b = np.frombuffer(set_u[k].as_buffer(), np.uint64), np.frombuffer(set_v[k].as_buffer(), np.uint64)
-                    if 100 * min(len(a), len(b)) >= spec.percent * max(len(a), len(b)):
-                        keep[k] = similar(np.int64(len(np.intersect1d(a, b, assume_unique=True))), len(a), len(b), spec.percent)
+                a, b = np.frombuffer(set_u[k].as_buffer(), np.uint64), np.frombuffer(set_v[k].as_buffer(), np.uint64)
+                if 100 * min(len(a), len(b)) >= spec.percent * max(len(a), len(b)):
+                    keep[k] = similar(np.int64(len(np.intersect1d(a, b, assume_unique=True))), len(a), len(b), spec.percent)
             yield pa.RecordBatch.from_arrays([u.filter(pa.array(keep)), v.filter(pa.array(keep))], names=["u", "v"])
 
-    return bounded_batches(pairs).select("u", "v", "sig_u", "sig_v", "set_u", "set_v").mapInArrow(run, "u long, v long")
-
-
-def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets of a with all of b, by matrix products over the shingles that both sides have."""
-    out = np.zeros((len(a), len(b)), np.float32)
-    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
-    both = np.intersect1d(flat_a, flat_b)
-    if not len(both):
-        return out.astype(np.int64)
-
-    def placed(sets: list[np.ndarray], flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        at = np.searchsorted(both, flat)
-        at[at == len(both)] = 0
-        ok = both[at] == flat
-        return row[ok], at[ok]
-
-    (ra, ca), (rb, cb) = placed(a, flat_a), placed(b, flat_b)
-    for lo in range(0, len(both), COLUMNS):
-        x, y = np.zeros((len(a), COLUMNS), np.float32), np.zeros((len(b), COLUMNS), np.float32)
-        for m, r, c in ((x, ra, ca), (y, rb, cb)):
-            ok = (c >= lo) & (c < lo + COLUMNS)
-            m[r[ok], c[ok] - lo] = 1
-        out += x @ y.T
-    return out.astype(np.int64)
-
-
-def block_links(rows: pd.DataFrame, spec: MinHash) -> pd.DataFrame:
-    """Similar pairs between two blocks that join different components; at most one per component merged."""
-    rows = rows.sort_values("node")
-    left, right = (rows[rows.side == s] for s in (0, 1))
-    if not len(right):
-        right = left
-    links: list[tuple[int, int]] = []
-    if len(left):
-        a, b = ([np.frombuffer(s, np.uint64) for s in x.shingles] for x in (left, right))
-        common = common_counts(a, b)
-        na, nb = np.array([len(s) for s in a]), np.array([len(s) for s in b])
-        hit = similar(common, na[:, None], nb[None, :], spec.percent)
-        hit &= left.comp.to_numpy()[:, None] != right.comp.to_numpy()[None, :]
-        parent: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while parent.get(x, x) != x:
-                parent[x] = parent.get(parent[x], parent[x])
-                x = parent[x]
-            return x
-
-        ln, rn, lc, rc = (x.tolist() for x in (left.node, right.node, left.comp, right.comp))
-        for i in range(len(a)):
-            for j in np.flatnonzero(hit[i]).tolist():
-                x, y = top(lc[i]), top(rc[j])
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    links.append((ln[i], rn[j]))
-    return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+    rows = pairs.count()
+    signed = with_side(with_side(pairs, "u", classes, "sig", rows), "v", classes, "sig", rows)
+    close = store.put(bounded_batches(signed).select("u", "v", "sig_u", "sig_v").mapInArrow(agree, "u long, v long").distinct(), "close")
+    rows = close.count()
+    both = with_side(with_side(close, "u", sets, "shingles", rows), "v", sets, "shingles", rows)
+    links = store.put(bounded_batches(both).select("u", "v", "shingles_u", "shingles_v").mapInArrow(verify, "u long, v long"), "links")
+    store.free(close)
+    return links
+
+
+def place_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall in each of PLACES places by their low bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(PLACES, np.int64)
+        for batch in batches:
+            for s in batch.column(0):
+                np.add.at(total, (np.frombuffer(s.as_buffer(), np.uint64) & np.uint64(PLACES - 1)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["place", "n"])
+
+    found = bounded_batches(sets).select("shingles").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(PLACES, np.int64)
+    out[found["place"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, spec: MinHash) -> DataFrame:
+    """node, comp, n (size of the set), token, at: the rarest shingles of each set, of which similar sets must share one, and their place from the rarest on.
+
+    Rare is what falls in a place with a low count. Any one order of all shingles gives the same links;
+    this one keeps the groups small.
+    """
+    sent = sets.sparkSession.sparkContext.broadcast(place_counts(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sent.value
+        for batch in batches:
+            token, at, size = [], [], []
+            for s in batch.column(2):
+                x = np.frombuffer(s.as_buffer(), np.uint64)
+                order = np.lexsort((x, counts[(x & np.uint64(PLACES - 1)).astype(np.int64)]))
+                n = len(x) + spec.percent * len(x) // -100 + 1  # a pair has at least percent of either set in common
+                token.append(x[order[:n]])
+                at.append(np.arange(n))
+                size.append(n)
+            rows = np.repeat(np.arange(batch.num_rows), size)
+            n = np.array([len(s.as_buffer()) // 8 for s in batch.column(2)], np.int64)
+            flat = [np.concatenate([*x, np.zeros(0, t)]) for x, t in ((token, np.uint64), (at, np.int64))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in (0, 1)), pa.array(n[rows]), _u64(flat[0]), pa.array(flat[1])], names=["node", "comp", "n", "token", "at"])
+
+    return bounded_batches(sets).select("node", "comp", "shingles").mapInArrow(run, "node long, comp long, n long, token long, at long")
+
+
+def rare_pairs(sets: DataFrame, spec: MinHash, store: Store) -> DataFrame:
+    """(u, v) of different components, of all that may be similar: a superset of the similar pairs of node, comp, shingles.
+
+    Of two similar sets of sizes x <= y, the rarest shingle that both have leaves each at least
+    percent / (100 + percent) * (x + y) shingles from there on. So the smaller set must have it near its
+    front: such rows are leaders, and a shingle without one makes no pair. The rows of a shingle are
+    dealt out in blocks, leaders by rows, so a task pairs BLOCK with BLOCK at most.
+    """
+    t = F.lit(spec.percent)
+    rest = F.col("n") - F.col("at")
+    leads = rest * (100 + t) >= 2 * t * F.col("n")
+    found = store.put(prefixes(sets, spec).withColumn("leads", leads), "prefixes")
+    groups = found.groupBy("token").agg(F.count("*").alias("rows"), F.sum(F.col("leads").cast("long")).alias("leaders"), F.min("comp").alias("a"), F.max("comp").alias("b"))
+    groups = groups.filter("rows > 1 and leaders > 0 and a != b").select("token", "rows", F.ceil(F.col("leaders") / BLOCK).cast("int").alias("i_blocks"), F.ceil(F.col("rows") / BLOCK).cast("int").alias("j_blocks"))
+    groups = store.put(groups, "groups")
+    total = groups.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    split = store.put(join_split(found, groups, "token", "rows", total), "shared-prefixes")
+
+    def block(blocks: str):
+        return F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+
+    def every(blocks: str):
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    side = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("node", "comp", "n", "at")]
+    x = split.filter("leads").withColumn("i", block("i_blocks")).withColumn("j", every("j_blocks")).select("token", "i", "j", *side("x"))
+    y = split.withColumn("j", block("j_blocks")).withColumn("i", every("i_blocks")).select("token", "i", "j", *side("y"))
+    least = t * (F.col("n_x") + F.col("n_y"))
+    fits = (F.col("comp_x") != F.col("comp_y")) & (F.col("n_x") <= F.col("n_y")) & (100 * F.col("n_x") >= t * F.col("n_y"))
+    fits &= ((F.col("n_x") - F.col("at_x")) * (100 + t) >= least) & ((F.col("n_y") - F.col("at_y")) * (100 + t) >= least)
+    pairs = x.join(y, ["token", "i", "j"]).filter(fits).select(F.least("node_x", "node_y").alias("u"), F.greatest("node_x", "node_y").alias("v")).distinct()
+    pairs = store.put(pairs, "rare-pairs")
+    store.free(found, groups, split)
+    return pairs
 
 
 def components(edges: DataFrame, store: Store) -> DataFrame:
     """node, comp (its component's smallest node) for the nodes of undirected edges (u, v).
 
     Alternates large-star and small-star, each a minimum per node joined back to its edges, so that a
-    node of any degree is aggregated before the shuffle and its edges can be split; stops when a round
-    changes nothing.
+    node of any degree is aggregated before the shuffle and its edges are split; stops when a round
+    changes nothing. Each round's tables go as soon as the next one has its own.
     """
 
     def ordered(df: DataFrame) -> DataFrame:
         return df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
 
     def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
+        """A checksum that no number of edges makes overflow."""
+        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", F.lit(1), "u"))).first())
 
     edges = store.put(ordered(edges), "edges")
     before = state(edges)
     while before[0]:
+        last = edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        edges = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = store.put(ordered(edges), "large-star")
-        least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        near = edges.join(least, F.col("u") == F.col("w"))
-        edges = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_split(both, least, "u", "n", 2 * before[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = store.put(ordered(large), "large-star")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        near = join_split(large, least, "u", "n", before[0])
+        edges = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = store.put(ordered(edges), "small-star")
+        store.free(last, large)
         after = state(edges)
         if after == before:
             break
@@ -255,61 +327,76 @@ def near_duplicates(docs: DataFrame, spec: MinHash | None = None) -> DataFrame:
     distinct shingles. A text of fewer words than a shingle has one, the whole sequence; a null text or
     one without words has none and links with nothing: component_id is its doc_id. component_id is the
     smallest doc_id reachable over similar pairs, and kept tells whether that is the document itself.
-    Each row is judged by its own text; where one doc_id
-    carries several texts, the least of them confirms the links of that doc_id. A null doc_id links with nothing, has
-    a null component_id and is kept. No documents give no rows.
+    Where rows of one doc_id have several texts, each keeps its own n_shingles, and the links of all of
+    them are links of that doc_id. A null doc_id links with nothing, has a null component_id and is kept.
+    doc_id must be of an integer type. Other columns play no part. No documents give no rows.
     """
     spec = spec or MinHash()
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError(f"doc_id must be an integer, not {docs.schema['doc_id'].dataType.simpleString()}")
     store = Store(docs.sparkSession, "near-dup")
     feat = store.put(sketch(docs, spec), "sketches")
     key = ["n_shingles", "h1", "h2"]
-    classes = feat.filter("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
-    classes = store.put(classes, "classes")
+    named = feat.filter("n_shingles > 0 and doc_id is not null")
+    classes = named.groupBy(*key).agg(F.min("doc_id").alias("label"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = store.put(classes.withColumn("node", F.col("h1")), "classes")
+
+    # doc_ids with several texts link these
+    ids = named.groupBy("doc_id").agg(F.min("h1").alias("u"), F.max("h1").alias("last"), F.count("*").alias("texts")).filter("u != last")
+    ids = store.put(ids, "repeated-ids")
+    texts_of_ids = ids.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
+    same_id = join_split(named.select("doc_id", F.col("h1").alias("v")), ids, "doc_id", "texts", texts_of_ids).select("u", "v").filter("u != v").distinct()
+    same_id = store.put(same_id, "same-id")
 
     banded = classes.select("node", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    members = store.put(banded.join(buckets, "bucket"), "members")
+    buckets = store.put(banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1"), "buckets")
+    rows = buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    members = store.put(join_split(banded, buckets, "bucket", "n", rows), "members")
     stars = store.put(members.filter("node != pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct(), "stars")
 
-    involved = stars.select(F.col("u").alias("node")).unionByName(stars.select(F.col("v").alias("node"))).distinct()
+    involved = members.select("node").distinct().join(classes.select("node", "label"), "node").select("label").distinct()
     # merged at every size: what is involved grows with the documents, so no plan may rest on its being small
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved.hint("merge"), F.col("doc_id") == F.col("node"), "left_semi")
-    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))  # on the join's own partitioning
-    sets = store.put(full_sets(texts, spec), "sets", "uncompressed")
-
-    def with_sets(pairs: DataFrame) -> DataFrame:
-        for c in ("u", "v"):
-            side = sets.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("shingles").alias(f"set_{c}"))
-            pairs = pairs.join(side, c)
-        return pairs
+    texts = docs.select(F.col("doc_id").cast("long").alias("label"), "text").join(involved.hint("merge"), "label", "left_semi")
+    sets = store.put(full_sets(texts.dropDuplicates(["label", "text"]), spec), "sets", "uncompressed")  # on the join's own partitioning
 
-    links = store.put(verify(with_sets(stars), spec), "links")
+    links = confirm(stars, classes, sets, spec, store).unionByName(same_id)
     known = store.put(components(links, store), "known")
 
     # buckets of three or more whose members are not yet in one component
     labelled = members.filter("n > 2").join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    split = labelled.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b").select("bucket")
-    rest = store.put(labelled.join(split, "bucket", "left_semi").select("pivot", "node", "comp").distinct(), "rest")
-    regions = components(rest.select(F.col("pivot").alias("u"), F.col("node").alias("v")), store).select("node", F.col("comp").alias("region"))
-    regions = store.put(regions, "regions")
-    counts = regions.groupBy("region").agg(F.count("*").alias("n")).select("region", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = (
-        rest.select("node", "comp").distinct().join(regions, "node").join(counts, "region")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
-    )
-    more = bounded_batches(placed).join(sets.select("node", "shingles"), "node").groupBy("region", "i", "j").applyInPandas(lambda rows: block_links(rows, spec), "u long, v long")
-    links = links.unionByName(store.put(more, "more-links"))
-
-    found = store.put(components(links, store), "components")
-    rooted = classes.select(*key, "node").join(found, "node", "left").select(*key, F.coalesce("comp", "node").alias("comp"))
-    out = feat.select("doc_id", *key).join(rooted, key, "left")
-    root = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("comp", "doc_id"))
-    return out.select("doc_id", "n_shingles", root.alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    unsettled = labelled.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).filter("a != b").select("bucket", "n")
+    unsettled = store.put(unsettled, "unsettled")
+    rows = unsettled.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if rows:
+        rest = store.put(join_split(labelled.drop("n"), unsettled, "bucket", "n", rows).select("node", "comp").distinct(), "rest")
+        more = rare_pairs(rest.join(sets, "node"), spec, store)
+        links = links.unionByName(confirm(more, classes, sets, spec, store))
+        found = store.put(components(links, store), "components")
+    else:
+        found = known
+
+    # a component's smallest doc_id, then that of each class, then of each document
+    placed = store.put(found.join(classes.select("node", "label"), "node"), "placed")
+    roots = placed.groupBy("comp").agg(F.min("label").alias("root"), F.count("*").alias("n"))
+    rooted = join_split(placed, roots, "comp", "n", placed.count()).select("node", "root").distinct()
+    rooted = store.put(classes.select(*key, "node", "label", "copies").join(rooted, "node", "left").select(*key, "copies", F.coalesce("root", "label").alias("root")), "rooted")
+    store.free_but(feat, rooted)
+    name = F.struct(*key)
+    known_docs = join_split(named.select("doc_id", name.alias("name")), rooted.select(name.alias("name"), "copies", "root"), "name", "copies", named.count())
+    known_docs = known_docs.select("doc_id", F.col("name.n_shingles").alias("n_shingles"), F.col("root").alias("component_id"))
+    alone = feat.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = known_docs.unionByName(alone)
+    return out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, spec: MinHash | None = None) -> DataFrame:
-    """The documents, with all their columns, without those of which a near-duplicate with a smaller doc_id stays. Rows of one doc_id stay or go together."""
-    gone = near_duplicates(docs, spec).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The documents, with all their columns of whatever names, without those of which a near-duplicate with a smaller doc_id stays.
+
+    Rows of one doc_id stay or go together; rows with a null doc_id, and texts without words that stand
+    alone under their doc_id, stay. No documents give none.
+    """
+    name = "gone"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    gone = near_duplicates(docs, spec).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

@@ -25,22 +25,23 @@ class Store:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/tarnbeck/{name}-{uuid.uuid4().hex}"
-        self.count = 0
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def put(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-        self.count += 1
-        path = f"{self.path}/{self.count:03d}-{name}"
+        path = f"{self.path}/{len(self.tables) + 1:03d}-{name}"
         df.write.option("compression", codec).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Removes tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        for name in names:
-            for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/*-{name}")) or []:
-                fs.delete(found.getPath(), True)
-
-    def drop_all(self) -> None:
-        """Removes every table, for an operator whose result reads none of them."""
-        self.drop("*")
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((back, path))
+        return back
+
+    def free(self, *tables: DataFrame) -> None:
+        """Removes tables, as `put` returned them, that nothing reads any more."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for table, path in self.tables:
+            if any(table is t for t in tables):
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(conf).delete(at, True)
+
+    def free_but(self, *tables: DataFrame) -> None:
+        """Removes all tables but these, which an operator's result reads."""
+        self.free(*(t for t, _ in self.tables if not any(t is x for x in tables)))

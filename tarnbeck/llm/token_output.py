@@ -216,7 +216,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, block: int =
     blocks = _blocks(ranged, table, start, block, docs.schema["doc_id"].dataType.simpleString())
     store.put(spark_table.coalesce(1), "table")
     store.put(blocks, "blocks", "uncompressed")
-    store.drop("tokens")
+    store.free(tokens)
     return store.path
 
 

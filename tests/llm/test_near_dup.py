@@ -42,7 +42,7 @@ def test_large_group_of_near_copies(spark):
 
 def test_odd_rows(odd, none):
     got = found(odd, MinHash(3, 85))
-    assert got[1] == got.get(1) and got[2] == (4, 1, False)
+    assert got[1] == (4, 1, True) and got[2] == (4, 1, False)
     for i in (3, 4, 5):
         assert got[i] == (0, i, True)
     assert got[6] == (1, 6, True) and got[7] == (1, 6, False) and got[8] == (1, 8, True)
@@ -57,6 +57,8 @@ def test_drop(odd, none):
     ids = [r.doc_id for r in kept.collect()]
     assert 2 not in ids and 7 not in ids and None in ids and ids.count(1) == 2
     assert near_dup.drop_near_duplicates(none).count() == 0
+    clash = odd.withColumnRenamed("source", "gone").withColumnRenamed("lang", "_gone")
+    assert near_dup.drop_near_duplicates(clash).columns == clash.columns
 
 
 def test_components(spark):
@@ -79,11 +81,88 @@ def test_components(spark):
     assert near_dup.components(spark.createDataFrame([], "u long, v long"), Store(spark, "test")).count() == 0
 
 
-def test_common_counts():
-    rng = np.random.default_rng(0)
-    a = [np.unique(rng.integers(0, 9000, n).astype(np.uint64)) for n in (5, 4000, 9000)]
-    b = [np.unique(rng.integers(0, 9000, n).astype(np.uint64)) for n in (1, 7000)]
-    assert near_dup.common_counts(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+def test_every_text_of_an_id_has_its_links(spark):
+    """Two texts under one doc_id join what is similar to either; each row keeps its own set."""
+    rng = random.Random(9)
+    a, b, c = ([f"{x}{rng.randrange(900)}" for _ in range(60)] for x in "abc")
+    texts = [(5, a), (5, b), (1, [*b[:-1], "end"]), (9, [*a[:-1], "end"]), (3, c), (9, c[:30]), (2, [*c[:29], "tail"]), (7, None), (5, None)]
+    rows = [(i, t and " ".join(t)) for i, t in texts]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), MinHash(3, 85)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == sorted(
+        [(5, 58, 1, False), (5, 58, 1, False), (1, 58, 1, True), (9, 58, 1, False), (3, 58, 3, True), (9, 28, 1, False), (2, 28, 1, False), (7, 0, 7, True), (5, 0, 5, True)]
+    )
+
+
+def test_an_id_with_most_rows(spark, monkeypatch):
+    """One doc_id with many different texts, its rows split off as those of a key with most rows are."""
+    monkeypatch.setattr(near_dup, "HOT", 3)
+    rows = [(4, f"text number {k} and no other like it {k * 7}") for k in range(40)] + [(k, "all alike in every word") for k in range(10, 60)] + [(3, "text number 11 and no other like it 77")]
+    got = {(r.doc_id, r.component_id) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), MinHash(3, 85)).collect()}
+    assert got == {(4, 3), (3, 3)} | {(k, 10) for k in range(10, 60)}
+
+
+def test_checksum_of_many_links(spark, monkeypatch):
+    """Sums of hashes that overflow a long would raise under ANSI; the state of a round takes any number of links."""
+    calls = []
+    put = Store.put
+
+    def counted(self, df, name, codec="snappy"):
+        calls.append(name)
+        return put(self, df, name, codec)
+
+    monkeypatch.setattr(Store, "put", counted)
+    edges = spark.range(1, 3000).selectExpr("id as u", "id + (1L << 62) as v")
+    assert near_dup.components(edges, Store(spark, "test")).count() == 2 * 2999 and calls.count("small-star") <= 3
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_texts_with_a_long_common_part(spark, monkeypatch, split):
+    """Many texts just below the least similarity share buckets and link with nothing; they make no candidates but the few that do link."""
+    if split:
+        monkeypatch.setattr(near_dup, "HOT", 5)
+        monkeypatch.setattr(near_dup, "BLOCK", 4)
+    rng = random.Random(5)
+    common = [f"c{k}" for k in range(200)]
+    rows = [(k, " ".join([*common, *(f"u{rng.randrange(10**9)}" for _ in range(28))])) for k in range(120)]
+    rows += [(1000 + k, rows[k][1] + " more") for k in range(5)]
+    spec, seen = MinHash(3, 85), []
+    found_pairs = near_dup.rare_pairs
+
+    def watched(sets, spec, store):
+        pairs = found_pairs(sets, spec, store)
+        seen.append((sets.count(), pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(near_dup, "rare_pairs", watched)
+    got = found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spec)
+    assert got == expected(rows, spec)
+    assert seen and seen[0][0] >= 100 and seen[0][1] <= 20
+
+
+def test_rare_pairs_against_all_pairs(spark):
+    """Among sets of all sizes and similarities, no similar pair of different components is missed."""
+    rng = np.random.default_rng(4)
+    pool = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))
+    sets = [np.unique(rng.choice(pool[: rng.integers(5, 60)], rng.integers(1, 40))) for _ in range(150)]
+    sets += [np.unique(np.concatenate([s[: max(1, len(s) - 1)], rng.choice(pool, 1)])) for s in sets[:60]]
+    rows = [(k, k, bytearray(s.tobytes())) for k, s in enumerate(sets)]
+    spec = MinHash(3, 85)
+    got = {(r.u, r.v) for r in near_dup.rare_pairs(spark.createDataFrame(rows, "node long, comp long, shingles binary"), spec, Store(spark, "test")).collect()}
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if near_dup.similar(np.int64(len(np.intersect1d(sets[a], sets[b]))), len(sets[a]), len(sets[b]), 85)}
+    assert want <= got and len(want) > 30
+
+
+def test_join_split(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "HOT", 10)
+    left = spark.createDataFrame([(k % 7 if k < 50 else 7, k) for k in range(100)] + [(None, 1), (8, 2)], "key long, x long")
+    right = left.filter("key < 8").groupBy("key").count()
+    rows = near_dup.join_split(left, right, "key", "count", 100).collect()
+    assert sorted(r.x for r in rows) == list(range(100)) and {r["count"] for r in rows if r.key == 7} == {50}
+
+
+def test_text_ids_are_refused(spark):
+    with pytest.raises(TypeError, match="integer"):
+        near_dup.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 def test_signature_estimates_similarity():
