@@ -185,6 +185,20 @@ def test_all_expressions_are_counted():
     assert len(model.follows.keys) == n and len(model.pairs.keys) == len(np.unique(pairs)) and model.pairs.values.sum() == len(w)
 
 
+def test_what_the_shared_counts_need_not_know():
+    """Expressions in too few documents have no mass of their own, so their shared counts make no difference to any other's."""
+    texts = toy(3)[0]
+    w, f = hashed(texts)
+    words, pairs = toxicity.known_expressions([(w, f)])
+    n, m = toxicity.in_rows(w, f), toxicity.in_rows(toxicity.bigram(toxicity.befores(w, f), w), f)
+    assert set(words) == set(n.keys[n.values > 3]) and set(pairs) == set(m.keys[m.values > 5]) and len(pairs)
+    models = []
+    for known, known_pairs in ((words, pairs), (n.keys, m.keys)):
+        shared = toxicity.Shared(known, np.ones(len(known) + 1), toxicity.Counts(known, n(known) / 9), toxicity.Counts(known_pairs, m(known_pairs) / 9), len(texts))
+        models.append(toxicity.ClassModel(w, f, shared))
+    assert (models[0].own_words.values == models[1].own_words.values).all() and (models[0].own_pairs.values == models[1].own_pairs.values).all()
+
+
 def test_shared_counts_handed_on_in_parts(spark, monkeypatch):
     docs = spark.createDataFrame([(" ".join(t),) for part in toy(2) for t in part] + [(None,), ("",)], "text string").repartition(2)
     w, f = hashed(toy(2)[0])
