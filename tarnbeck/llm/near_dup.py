@@ -10,7 +10,7 @@ How the work stays bounded when one group holds a large share of all documents:
   only across components. Texts that have a long common part and else differ share no rare shingle, so
   a thousand of them make no candidates;
 * a key with many rows, be it a bucket, a pivot, a shingle, the hub of a star or a class of copies, is split:
-  there are fewer than KEYS such keys, so what goes with them is broadcast, or dealt out under a salt.
+  there are a few thousand such keys at most, so what goes with them is broadcast, or dealt out under a salt.
 
 No table of links, components or signatures reaches the driver; it sees a few numbers per round.
 """
@@ -28,11 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from tarnbeck.llm.splits import join_split, with_side
 from tarnbeck.llm.store import Store
 from tarnbeck.llm.text import Piece, bounded_batches, grams, mix, pieces, words
 
-#: A key with more than rows / KEYS rows, and more than HOT, is split off; so there are fewer than KEYS of them.
-KEYS, HOT = 4096, 256
 #: Rows of a shingle on either side that one task pairs.
 BLOCK = 4096
 #: Places that shingles are counted in to tell the rare ones; the counts are broadcast.
@@ -147,30 +146,6 @@ def full_sets(docs: DataFrame, spec: MinHash) -> DataFrame:
     return bounded_batches(docs).select("text").mapInArrow(run, "node long, shingles binary")
 
 
-def join_split(left: DataFrame, right: DataFrame, key: str, size: str, rows: int) -> DataFrame:
-    """left joined with right, which has one row a key, and in `size` how many rows of left that key has; rows: those of left.
-
-    The rows of left whose key has more than rows / KEYS of them, fewer than KEYS keys, meet theirs by
-    broadcast and are never dealt out by key; all others are.
-    """
-    most = max(HOT, rows // KEYS)
-    hot = right.filter(F.col(size) > most)
-    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.filter(F.col(size) <= most), key)
-    return left.join(F.broadcast(hot), key).unionByName(cold)
-
-
-def with_side(pairs: DataFrame, side: str, table: DataFrame, column: str, rows: int) -> DataFrame:
-    """pairs with `column` of the table for their `side`, as <column>_<side>. A node in many pairs has them dealt out under a salt, and its row of the table copied as often."""
-    most = max(HOT, rows // KEYS)
-    hot = pairs.groupBy(side).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(side, F.ceil(F.col("n") / most).cast("int").alias("salts"))
-    hot = F.broadcast(hot)  # fewer than KEYS rows
-    other = "v" if side == "u" else "u"
-    left = pairs.join(hot, side, "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.col("salts")).cast("int"))).drop("salts")
-    right = table.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")).join(hot, side, "left")
-    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    return left.join(right, [side, "salt"]).drop("salt")
-
-
 def similar(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * common >= percent * (a + b - common)
 

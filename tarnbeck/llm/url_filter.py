@@ -1,15 +1,25 @@
 """URL filters by a path-template tree.
 
-Per host, a path is generalised segment by segment: a segment of digits, of hexadecimal digits or with
-a digit in it takes a typed wildcard, and where the values that remain below one parent are many or nearly
-all different, those with few labelled pages, whose share of bad ones does not differ significantly from
-their siblings', become one wildcard. Sibling branches whose labelled shares of bad
-pages do not differ significantly are merged. A template is rejected if its labelled purity, smoothed
-towards its branch, its shape over all hosts and the mean of all, reaches a threshold.
-
-The tree is built from counts: pages are aggregated to (host, template) before anything is shuffled,
-and what is grouped in one task is the branches below one parent after generalisation: beyond MOST_BRANCHES
-of them, only those with labelled pages, a name and two numbers each.
+Per host, paths form a tree of segments, each with its pages, the labelled ones among them and the bad ones.
+A segment that looks like a number, a long hexadecimal number or a name with digits takes a typed
+wildcard. Level by level, the branches below one parent are then told apart by what their labels say:
+
+* a branch stands apart if its bad share could not well be that of all labelled pages below the parent,
+  by Chernoff's bound on the binomial, corrected for the number of branches. Branches that stand apart
+  are merged with those of similar share, by the same bound for two samples;
+* all other labelled branches are similar, and merged (`+`);
+* branches without labelled pages have nothing to tell them apart, and are merged (`*`);
+* if most pages bring a segment of their own (the lower bound of Good and Turing's share of unseen ones is
+  above a half), the segment is variable: whatever does not stand apart becomes one wildcard (`*`).
+
+A merged branch goes on as one node, so whole subtrees merge. A branch is kept as it is, though, if anything
+below it stands apart from its siblings, for then one share does not describe it. A template is rejected if
+it has labelled pages and its purity, the bad share smoothed towards that of its parent, that towards its
+host's and that towards the mean, reaches a threshold. No number of branches, pages or levels is a limit.
+
+The tree is built from counts: pages are aggregated to (host, path of generalised segments) before anything
+is shuffled; parents with many branches are split (splits.py); what one task gathers of a parent is the
+distinct pairs of labelled and bad counts among branches that stand apart, not the branches.
 """
 
 from __future__ import annotations
@@ -21,14 +31,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnbeck.llm.splits import join_split
 from tarnbeck.llm.store import Store
 from tarnbeck.llm.text import bounded_batches
 
-#: Distinct values below one parent; beyond it the sparse and similar ones become one wildcard.
-MOST_BRANCHES = 64
-#: Labelled pages that keep a branch of its own at any number of siblings.
-ENOUGH = 8
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -54,11 +60,14 @@ RULES = (
 
 @dataclass(frozen=True)
 class Purity:
-    """strength: labelled pages that each prior counts as. reject: least smoothed share of bad pages. similar: most standard errors between merged branches."""
+    """strength: labelled pages that each prior counts as. reject: least smoothed share of bad pages. chance: probability of telling apart, below one parent, what does not differ."""
 
     strength: float = 8.0
     reject: float = 0.7
-    similar: float = 1.96
+    chance: float = 0.05
+
+    def bound(self, branches: int) -> float:
+        return math.log(2 * branches / self.chance)
 
 
 def host_of(url: Column) -> Column:
@@ -96,59 +105,138 @@ def generalise(segment: Column) -> Column:
     return F.concat(kind, tail)
 
 
+def excess(bad: Column, labelled: Column, share: Column) -> Column:
+    """Chernoff's exponent: labelled times the relative entropy of the bad share to `share`; the binomial tail is below its negative exponential."""
+    good = labelled - bad
+    return F.when(bad > 0, bad * F.log(bad / (labelled * share))).otherwise(0.0) + F.when(good > 0, good * F.log(good / (labelled * (1 - share)))).otherwise(0.0)
+
+
+def apart(bad: float, n: float, bad2: float, n2: float) -> float:
+    """The same exponent for two samples and their common share."""
+    p, out = (bad + bad2) / (n + n2), 0.0
+    for b, m in ((bad, n), (bad2, n2)):
+        for x, q in ((b, p), (m - b, 1 - p)):
+            out += x * math.log(x / (m * q)) if x > 0 else 0.0
+    return out
+
+
 def _merge(rows: pd.DataFrame, purity: Purity) -> pd.DataFrame:
-    """Groups sibling branches, in the order of their bad shares, while neighbours do not differ significantly; the groups' counts are returned per branch."""
-    rows = rows.assign(share=(rows.bad + 0.5) / (rows.labelled + 1)).sort_values(["share", "branch"])
-    groups: list[list[int]] = []
-    sums: list[list[float]] = []
-    for k, (bad, n) in enumerate(zip(rows.bad, rows.labelled, strict=True)):
-        if groups:
-            b, m = sums[-1]
-            if n == 0 or m == 0:
-                same = True
-            else:
-                p = (b + bad + 1) / (m + n + 2)
-                same = abs(b / m - bad / n) <= purity.similar * math.sqrt(p * (1 - p) * (1 / m + 1 / n))
-            if same:
-                groups[-1].append(k)
-                sums[-1] = [b + bad, m + n]
-                continue
-        groups.append([k])
-        sums.append([bad, n])
-    merged_bad, merged = [0.0] * len(rows), [0.0] * len(rows)
-    for g, (b, m) in zip(groups, sums, strict=True):
-        for k in g:
-            merged_bad[k], merged[k] = b, m
-    return rows.assign(branch_bad=merged_bad, branch_labelled=merged)[["host", "parent", "branch", "branch_bad", "branch_labelled"]]
-
-
-def judge_templates(counts: DataFrame, purity: Purity, store: Store) -> DataFrame:
-    """host, template and purity, from host, template, n, labelled and bad.
-
-    A template's share of bad labelled pages is drawn to that of its merged branch, that one to the share
-    of the same template over all hosts, and that to the mean of all labelled pages.
+    """Groups branches in the order of their bad shares, while neighbours are similar. A row stands for `alike` branches of equal counts, the first of them by name `branch`."""
+    rows = rows.assign(share=rows.bad / rows.labelled).sort_values(["share", "labelled"]).reset_index(drop=True)
+    bound, groups = purity.bound(int(rows.kinds.iloc[0])), []
+    for k, (bad, n, alike) in enumerate(zip(rows.bad, rows.labelled, rows.alike, strict=True)):
+        if groups and apart(groups[-1][1], groups[-1][2], bad, n) <= bound:
+            groups[-1] = (groups[-1][0] + [k], groups[-1][1] + alike * bad, groups[-1][2] + alike * n)
+        else:
+            groups.append(([k], alike * bad, alike * n))
+    first, together = [""] * len(rows), [0] * len(rows)
+    for members, _, _ in groups:
+        for k in members:
+            first[k], together[k] = rows.branch[members].min(), int(rows.alike[members].sum())
+    return rows.assign(first=first, together=together)[["host", "template", "bad", "labelled", "first", "together"]]
+
+
+def mixed_branches(paths: DataFrame, purity: Purity, store: Store) -> DataFrame:
+    """below: the hash of every (host, segments so far) below which a branch stands apart from its siblings."""
+
+    def so_far(depth) -> Column:
+        return F.xxhash64("host", F.slice("parts", 1, depth))
+
+    nodes = paths.withColumn("depth", F.explode(F.sequence(F.lit(1), F.size("parts"))))
+    nodes = nodes.groupBy(so_far(F.col("depth")).alias("node"), so_far(F.col("depth") - 1).alias("key")).agg(*(F.sum(c).alias(c) for c in ("labelled", "bad"))).filter("labelled > 0")
+    nodes = store.put(nodes, "nodes")
+    parents = nodes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")).filter("kinds > 1")
+    share = (F.col("all_bad") + 1) / (F.col("all_labelled") + 2)
+    stands = excess(F.col("bad"), F.col("labelled"), share) > F.log(2 * F.col("kinds") / purity.chance)
+    parents = store.put(parents, "parents")
+    total = parents.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    found = join_split(nodes, parents, "key", "kinds", total).filter(stands).select(F.col("key").alias("below")).distinct()
+    # with their ancestors
+    found = store.put(found, "apart")
+    steps = paths.withColumn("depth", F.explode(F.sequence(F.lit(1), F.size("parts")))).select("host", "parts", "depth", so_far(F.col("depth")).alias("below"))
+    held = steps.join(found, "below").withColumn("up", F.explode(F.sequence(F.lit(1), F.col("depth")))).select(so_far(F.col("up")).alias("below")).distinct()
+    return store.put(held, "mixed")
+
+
+def template_tree(paths: DataFrame, purity: Purity, store: Store) -> DataFrame:
+    """host, parts, n, labelled, bad and the template of each path, from the first five."""
+    mixed = mixed_branches(paths, purity, store)
+    tree = store.put(paths.withColumn("rest", F.col("parts")).withColumn("template", F.lit("")), "paths")
+    depth = 0
+    while depth < (tree.agg(F.max(F.size("rest"))).first()[0] or 0):
+        level = tree.withColumn("branch", F.get("rest", F.lit(depth)))
+        going = level.filter("branch is not null")
+        branches = going.groupBy("host", "template", "branch").agg(
+            F.count("*").alias("paths"), *(F.sum(c).alias(c) for c in ("n", "labelled", "bad")), F.min(F.xxhash64("host", F.slice("parts", 1, depth + 1))).alias("below")
+        )
+        branches = store.put(branches.withColumn("key", F.struct("host", "template")), "branches")
+        known = F.col("labelled") > 0
+        parents = branches.groupBy("key").agg(
+            F.count("*").alias("kinds"), F.sum("paths").alias("all_paths"), F.sum("n").alias("all"), F.sum((F.col("n") == 1).cast("long")).alias("once"),
+            F.sum(known.cast("long")).alias("known"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"),
+        )
+        parents = store.put(parents, "parents")
+        rows = parents.agg(F.sum("kinds")).first()[0] or 0
+        held = join_split(branches, parents, "key", "kinds", rows).join(mixed.withColumn("mixed", F.lit(True)), "below", "left")
+        stands = excess(F.col("bad"), F.col("labelled"), (F.col("all_bad") + 1) / (F.col("all_labelled") + 2)) > F.log(2 * F.col("known") / purity.chance)
+        z2, unseen = 1.96**2, F.col("once") / F.col("all")
+        variable = (unseen + z2 / (2 * F.col("all")) - 1.96 * F.sqrt((unseen * (1 - unseen) + z2 / (4 * F.col("all"))) / F.col("all"))) / (1 + z2 / F.col("all")) > 0.5
+        kind = F.when(F.col("mixed"), "mixed").when(known & stands, "apart").when(variable, "*").when(known, "+").otherwise("*")
+        held = store.put(held.select("key", "host", "template", "branch", "bad", "labelled", "all_paths", "known", "kinds", kind.alias("kind")), "kinds")
+
+        alone = held.groupBy("key").agg(F.first("kinds").alias("kinds"), *(F.sum((F.col("kind") == k).cast("long")).alias(name) for k, name in (("*", "any"), ("+", "similar"))))
+        pairs = held.filter("kind = 'apart'").groupBy("host", "template", "bad", "labelled", F.col("known").alias("kinds")).agg(F.count("*").alias("alike"), F.min("branch").alias("branch"))
+        merged = bounded_batches(pairs).groupBy("host", "template").applyInPandas(lambda r: _merge(r, purity), "host string, template string, bad long, labelled long, first string, together long")
+        merged = store.put(merged.select(F.struct("host", "template").alias("key"), "bad", "labelled", "first", "together"), "merged")
+        named = join_split(held.drop("kinds"), alone, "key", "kinds", rows).join(merged, ["key", "bad", "labelled"], "left")
+        name = (
+            F.when((F.col("kind") == "apart") & (F.col("together") > 1), F.concat(F.lit("="), "first"))
+            .when((F.col("kind") == "*") & (F.col("any") > 1), F.lit("*"))
+            .when((F.col("kind") == "+") & (F.col("similar") > 1), F.lit("+"))
+            .otherwise(F.col("branch"))
+        )
+        named = named.select("host", "template", "branch", name.alias("name"), (F.col("all_paths") == 1).alias("only"))
+        ended = F.concat("template", F.lit("/"), F.array_join(F.slice("rest", depth + 1, F.size("rest")), "/"))  # the only path below a parent has no more to decide
+        last = tree
+        tree = level.join(named, ["host", "template", "branch"], "left").select(
+            "host", "parts", "n", "labelled", "bad",
+            F.when(F.col("only"), F.slice("rest", 1, depth)).otherwise(F.col("rest")).alias("rest"),
+            F.when(F.col("branch").isNull(), F.col("template")).when(F.col("only"), ended).otherwise(F.concat("template", F.lit("/"), "name")).alias("template"),
+        )
+        tree = store.put(tree, "level")
+        store.free(last, branches, parents, held, merged)
+        depth += 1
+    return tree.drop("rest")
+
+
+def judge_templates(tree: DataFrame, purity: Purity, store: Store) -> DataFrame:
+    """host, template, labelled and purity, which is 0 where the template has no labelled page.
+
+    A template's share of bad labelled pages is drawn to that of its parent, that one to its host's, and that
+    to the mean of all labelled pages.
     """
-    counts = counts.withColumn("parent", F.regexp_replace("template", r"(?s)/[^/]*$", "")).withColumn("branch", F.regexp_extract("template", r"(?s)/([^/]*)$", 1))
-    merged = bounded_batches(counts).groupBy("host", "parent").applyInPandas(
-        lambda rows: _merge(rows, purity), "host string, parent string, branch string, branch_bad double, branch_labelled double"
-    )
-    shapes = counts.groupBy("template").agg(F.sum("bad").alias("shape_bad"), F.sum("labelled").alias("shape_labelled"))
-    mean = counts.agg(F.coalesce(F.sum("bad") / F.nullif(F.sum("labelled"), F.lit(0)), F.lit(0.0)).alias("mean"))
-    k = F.lit(purity.strength)
-    shape = (F.col("shape_bad") + k * F.col("mean")) / (F.col("shape_labelled") + k)
-    branch = (F.col("branch_bad") + k * shape) / (F.col("branch_labelled") + k)
-    own = (F.col("bad") + k * branch) / (F.col("labelled") + k)
-    joined = counts.join(merged, ["host", "parent", "branch"]).join(shapes, "template").join(F.broadcast(mean))  # one row
-    return store.put(joined.select("host", "template", own.alias("purity")), "templates")
+    counts = tree.groupBy("host", "template").agg(*(F.sum(c).cast("double").alias(c) for c in ("labelled", "bad")))
+    counts = store.put(counts.filter("labelled > 0").withColumn("parent", F.regexp_replace("template", r"(?s)/[^/]*$", "")), "counts")
+    total = counts.agg(F.sum("bad"), F.sum("labelled")).first()
+    mean, k = (total[0] / total[1] if total[1] else 0.0), F.lit(purity.strength)
+    hosts = counts.groupBy("host").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"), F.count("*").alias("templates"))
+    hosts = hosts.select("host", "templates", ((F.col("bad") + k * mean) / (F.col("labelled") + k)).alias("by_host"))
+    parents = counts.groupBy("host", "parent").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"), F.count("*").alias("n"))
+    rows = counts.count()
+    parents = join_split(parents, hosts, "host", "templates", rows)
+    parents = parents.select(F.struct("host", "parent").alias("key"), "n", ((F.col("bad") + k * F.col("by_host")) / (F.col("labelled") + k)).alias("by_parent"))
+    own = (F.col("bad") + k * F.col("by_parent")) / (F.col("labelled") + k)
+    return join_split(counts.withColumn("key", F.struct("host", "parent")), parents, "key", "n", rows).select("host", "template", own.alias("purity"))
 
 
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labels: DataFrame | None = None, purity: Purity | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, then template and purity, for each page.
 
-    The longest rule that fits decides; elsewhere the template does. Labelled pages are those of
-    `labels` (page_id, bad 0 or 1), or without it the pages that a rule decides. A null url, or one
-    without ://, has an empty host and path, and the template of an empty path. Null page_ids and
-    repeated rows each have their row; no pages give no rows.
+    The longest rule that fits decides; elsewhere the template does, by labelled pages of its own host only.
+    Labelled pages are those of `labels` (page_id, bad 0 or 1; bad if any row of it says so), or without it
+    the pages that a rule decides. A null url, or one without ://, has an empty host and path, and the
+    template of an empty path. Paths and urls of any length count whole. Null page_ids and repeated rows
+    each have their row; other columns play no part, whatever their names; no pages give no rows.
     """
     purity = purity or Purity()
     store = Store(pages.sparkSession, "urls")
@@ -166,33 +254,13 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labels: DataF
         found = found.withColumn("bad", (F.col("by_rule") == "block").cast("int"))
     found = store.put(found, "pages")
 
-    # level by level, sparse and similar branches of a parent with too many or nearly all different ones get one wildcard
-    tree = found.groupBy("host", "parts").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"))
-    tree = store.put(tree.withColumn("raw", F.col("parts")).withColumn("template", F.lit("")), "paths")
-    depth = 0
-    while depth < (tree.agg(F.max(F.size("parts"))).first()[0] or 0):
-        level = tree.withColumn("branch", F.get("parts", F.lit(depth)))
-        branches = level.filter("branch is not null").groupBy("host", "template", "branch").agg(F.count("*").alias("paths"), *(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
-        parents = branches.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("paths").alias("all_paths"), F.sum("n").alias("all"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
-        many = (F.col("kinds") > MOST_BRANCHES) | ((F.col("kinds") > 8) & (F.col("kinds") > 0.5 * F.col("all")))
-        others, others_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
-        p = (F.col("all_bad") + 1) / (F.col("all_labelled") + 2)
-        error = F.sqrt(p * (1 - p) * (1 / F.nullif("labelled", F.lit(0)) + 1 / F.nullif(others, F.lit(0))))
-        apart = F.abs(F.col("bad") / F.nullif("labelled", F.lit(0)) - others_bad / F.nullif(others, F.lit(0))) > purity.similar * error
-        own = (F.col("labelled") >= ENOUGH) | F.coalesce(apart, F.lit(False))
-        shown = branches.join(parents, ["host", "template"]).select("host", "template", "branch", (many & ~own).alias("wild"), (F.col("all_paths") == 1).alias("alone"))
-        here = F.concat("template", F.lit("/"), F.when(F.col("wild"), F.lit("*")).otherwise(F.col("branch")))
-        rest = F.concat("template", F.lit("/"), F.array_join(F.slice("parts", depth + 1, F.size("parts")), "/"))  # the only path below a parent has no more to decide
-        tree = level.join(shown, ["host", "template", "branch"], "left").select(
-            "host", "raw", "n", "labelled", "bad",
-            F.when(F.col("alone"), F.slice("parts", 1, depth)).otherwise(F.col("parts")).alias("parts"),
-            F.when(F.col("branch").isNull(), F.col("template")).when(F.col("alone"), rest).otherwise(here).alias("template"),
-        )
-        tree = store.put(tree, "level")
-        depth += 1
-    counts = tree.groupBy("host", "template").agg(*(F.sum(c).cast("double").alias(c) for c in ("n", "labelled", "bad")))
-    judged = judge_templates(store.put(counts, "counts"), purity, store)
-    by_path = tree.select("host", F.col("raw").alias("parts"), "template").join(judged, ["host", "template"])
-    out = found.join(by_path, ["host", "parts"], "left")
+    paths = found.groupBy("host", "parts").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.sum(F.coalesce("bad", F.lit(0)).cast("long")).alias("bad"))
+    paths = store.put(paths, "distinct-paths")
+    tree = store.put(template_tree(paths, purity, store), "tree")
+    judged = judge_templates(tree, purity, store)
+    by_path = tree.withColumn("pages", F.col("n")).join(judged, ["host", "template"], "left").select(F.struct("host", "parts").alias("key"), "pages", "template", F.coalesce("purity", F.lit(0.0)).alias("purity"))
+    by_path = store.put(by_path, "by-path")
+    store.free_but(found, by_path)
+    out = join_split(found.withColumn("key", F.struct("host", "parts")), by_path, "key", "pages", found.count())
     verdict = F.coalesce("by_rule", F.when(F.col("purity") >= purity.reject, F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tarnbeck.llm import near_dup
+from tarnbeck.llm import near_dup, splits
 from tarnbeck.llm.near_dup import MinHash
 from tarnbeck.llm.store import Store
 from tests.llm import brute
@@ -95,7 +95,7 @@ def test_every_text_of_an_id_has_its_links(spark):
 
 def test_an_id_with_most_rows(spark, monkeypatch):
     """One doc_id with many different texts, its rows split off as those of a key with most rows are."""
-    monkeypatch.setattr(near_dup, "HOT", 3)
+    monkeypatch.setattr(splits, "HOT", 3)
     rows = [(4, f"text number {k} and no other like it {k * 7}") for k in range(40)] + [(k, "all alike in every word") for k in range(10, 60)] + [(3, "text number 11 and no other like it 77")]
     got = {(r.doc_id, r.component_id) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), MinHash(3, 85)).collect()}
     assert got == {(4, 3), (3, 3)} | {(k, 10) for k in range(10, 60)}
@@ -119,7 +119,7 @@ def test_checksum_of_many_links(spark, monkeypatch):
 def test_texts_with_a_long_common_part(spark, monkeypatch, split):
     """Many texts just below the least similarity share buckets and link with nothing; they make no candidates but the few that do link."""
     if split:
-        monkeypatch.setattr(near_dup, "HOT", 5)
+        monkeypatch.setattr(splits, "HOT", 5)
         monkeypatch.setattr(near_dup, "BLOCK", 4)
     rng = random.Random(5)
     common = [f"c{k}" for k in range(200)]
@@ -153,10 +153,10 @@ def test_rare_pairs_against_all_pairs(spark):
 
 
 def test_join_split(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "HOT", 10)
+    monkeypatch.setattr(splits, "HOT", 10)
     left = spark.createDataFrame([(k % 7 if k < 50 else 7, k) for k in range(100)] + [(None, 1), (8, 2)], "key long, x long")
     right = left.filter("key < 8").groupBy("key").count()
-    rows = near_dup.join_split(left, right, "key", "count", 100).collect()
+    rows = splits.join_split(left, right, "key", "count", 100).collect()
     assert sorted(r.x for r in rows) == list(range(100)) and {r["count"] for r in rows if r.key == 7} == {50}
 
 
