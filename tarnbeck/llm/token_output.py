@@ -1,10 +1,13 @@
 """Token ids as files: tokenise, count, lay out in document order, and code in range-ANS blocks.
 
-The file format is a folder of two tables: `table`, one row with the shared frequency table, and
-`blocks`, a row per block with its number of ids, its documents (ids, lengths), the place of its first
-id in the whole output, a checksum and the coded payload (rans.py). Blocks lie in the files in
-ascending order, and each can be decoded alone. Parquet carries the rows so that Spark's committer
-handles lost and repeated tasks.
+The file format is a folder of two tables: `table`, one row with the shared frequency table and the place of
+each range's first id in the whole output; and `blocks`, a row per block with its range of doc_ids, its number
+of ids, its documents (ids, lengths), the place of its first id in the range, a checksum and the coded payload
+(rans.py). Ranges and their blocks are in ascending order of doc_id, and each block can be decoded alone.
+Parquet carries the rows so that Spark's committer handles lost and repeated tasks.
+
+Ids are counted while texts are tokenised. Ranges hold about as many documents each, by Spark's own sample
+of the keys; their number grows with the ids, without a limit.
 """
 
 from __future__ import annotations
@@ -27,10 +30,8 @@ from tarnbeck.llm.text import LOWER, SPACE, Hasher, Piece, bounded_batches, piec
 BLOCK = 1 << 18
 #: Distinct parts of words whose ids a worker remembers.
 REMEMBER = 1_000_000
-#: Documents to a range of doc_ids, which one task lays out.
-RANGE_ROWS = 1 << 17
-#: The largest number of ranges, which bounds what the driver holds.
-RANGES = 4096
+#: Ids to a range of doc_ids, which one task sorts and codes.
+RANGE_IDS = 1 << 25
 
 _words: dict[str, WordIds] = {}
 
@@ -128,109 +129,100 @@ class WordIds:
 
 
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, text_crc32 and the ids, with end_id last, as compressed little-endian unsigned 32-bit integers."""
+    """doc_id, n_tokens, text_crc32 and the ids, with end_id last, as compressed little-endian unsigned 32-bit integers; and at the end of each task a row that has just `counts`, how often each id occurred in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = _words.get(tokenizer) or _words.setdefault(tokenizer, WordIds(tokenizer))
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze, total = zstandard.ZstdCompressor(level=1), np.zeros(end_id + 1, np.int64)
+
+        def rows(doc, size, sums, packed, counts) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([doc, pa.array(size, pa.int64()), pa.array(sums, pa.int64()), pa.array(packed, pa.binary()), pa.array(counts, pa.binary())], names=names)
+
+        doc_type = None
         for batch in batches:
+            doc_type = batch.column(0).type
             for piece in pieces(batch.column(1)):
                 raw, bounds = memoryview(piece.buf), piece.off.tolist()
                 sums = [zlib.crc32(raw[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 ids, size = words(piece)
+                found = np.bincount(ids, minlength=len(total))
+                found[: len(total)] += total
+                total = found
+                total[end_id] += len(piece)
                 ends, packed = np.cumsum(size), []
                 for lo, hi in zip((ends - size).tolist(), ends.tolist(), strict=True):
                     one = np.empty(hi - lo + 1, "<u4")
                     one[:-1], one[-1] = ids[lo:hi], end_id
                     wide = one.max() > 65535
                     packed.append((b"4" if wide else b"2") + squeeze.compress((one if wide else one.astype("<u2")).tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(piece.lo, len(piece)), pa.array(size + 1), pa.array(sums, pa.int64()), pa.array(packed, pa.binary())],
-                    names=["doc_id", "n_tokens", "text_crc32", "ids"],
-                )
+                yield rows(batch.column(0).slice(piece.lo, len(piece)), size + 1, sums, packed, [None] * len(piece))
+        if doc_type is not None:
+            yield rows(pa.nulls(1, doc_type), [None], [None], [None], [squeeze.compress(total.astype("<i8").tobytes())])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, text_crc32 long, ids binary")
+    names = ["doc_id", "n_tokens", "text_crc32", "ids", "counts"]
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, text_crc32 long, ids binary, counts binary")
 
 
 def unpack(packed: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(packed[1:]), "<u4" if packed[:1] == b"4" else "<u2").astype(np.uint32)
 
 
-def count_ids(tokens: DataFrame) -> DataFrame:
-    """id, n: how often each id occurs in all documents; a row per id and task is shuffled."""
+def count_ids(tokens: DataFrame) -> np.ndarray:
+    """How often each id occurs in all documents: the sum of what tasks counted, added up on the executors; a row per id reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(0, np.int64), [], 0
-
-        def count() -> np.ndarray:
-            n = np.bincount(np.concatenate(held), minlength=len(total)) if held else total
-            n[: len(total)] += total
-            return n
-
+        total = np.zeros(0, np.int64)
         for batch in batches:
             for packed in batch.column(0):
-                held.append(unpack(packed.as_py()))
-                size += len(held[-1])
-                if size > 1 << 21:
-                    total, held, size = count(), [], 0
-        total = count() if held else total
+                part = np.frombuffer(zstandard.decompress(packed.as_py()), "<i8")
+                sums = np.zeros(max(len(total), len(part)), np.int64)
+                sums[: len(total)] += total
+                sums[: len(part)] += part
+                total = sums
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
-    return bounded_batches(tokens).select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = bounded_batches(tokens).filter("counts is not null").select("counts").mapInArrow(run, "id long, n long")
+    found = counted.groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # as many rows as the vocabulary has ids
+    out = np.zeros(max(found["id"].to_pylist(), default=0) + 1, np.int64)
+    out[found["id"].to_numpy()] = found["n"].to_numpy()
+    return out
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, block: int = BLOCK, bits: int = 20) -> str:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, block: int = BLOCK, bits: int = 20, range_ids: int = RANGE_IDS) -> str:
     """Writes the ids of all documents in ascending doc_id order and returns the folder.
 
-    Null texts count as empty and hold just end_id. Null doc_ids come first; rows of one doc_id are
-    ordered by text checksum. No documents give an empty output.
+    doc_id may be an integer or a text. Null texts count as empty and hold just end_id. Null doc_ids come
+    first; rows of one doc_id are ordered by text checksum, and may lie in several ranges; equal rows are
+    one as good as the other. Texts of any length are one document. Other columns play no part. No
+    documents give an empty output.
     """
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     store = Store(spark, "token-files")
-    tokens = store.put(tokenise(docs, tokenizer, end_id), "tokens", "uncompressed")
-
-    counts = {r["id"]: r["n"] for r in count_ids(tokens).collect()}  # as many rows as the vocabulary has ids
-    dense = np.zeros(max(counts, default=0) + 1, np.int64)
-    for k, n in counts.items():
-        dense[k] = n
-    table = Table.of_counts(dense, bits)
-
-    rows = tokens.count()
-    ranges = int(min(RANGES, max(1, -(-rows // RANGE_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 1000))))
-    bounds = sorted(set(tokens.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.1 / ranges))) if ranges > 1 and rows else []
-    part = F.lit(0)
-    if bounds:
-        part = F.expr(f"size(filter(array({', '.join(f'{b!r}D' for b in bounds)}), b -> doc_id >= b))") if len(bounds) <= 64 else _bucket(bounds)
-    ranged = tokens.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int"))
-    totals = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # a row per range
-    start, at = {}, 0
-    for k in sorted(totals):
-        start[k], at = at, at + totals[k]
-
-    spark_table = spark.createDataFrame([(table.bits, table.freq.astype("<u4").tobytes())], "bits int, freq binary")
-    blocks = _blocks(ranged, table, start, block, docs.schema["doc_id"].dataType.simpleString())
-    store.put(spark_table.coalesce(1), "table")
-    store.put(blocks, "blocks", "uncompressed")
+    tokens = store.put(tokenise(docs, tokenizer, end_id).withColumn("place", F.monotonically_increasing_id()), "tokens", "uncompressed")
+    counts = count_ids(tokens)
+    table = Table.of_counts(counts, bits)
+    # as many ranges as keep one of them to about range_ids ids, and some more for a small output, so that all cores have work
+    ranges = max(1, -(-int(counts.sum()) // range_ids), min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts[end_id] if len(counts) > end_id else 0) // 1000))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_crc32").asc(), F.col("place").asc()]
+    laid = tokens.filter("ids is not null").select("doc_id", "text_crc32", "place", "ids").repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    blocks = store.put(_blocks(laid.withColumn("part", F.spark_partition_id()), table, block, kind), "blocks", "uncompressed")
+
+    sizes = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).toArrow()  # a row per range
+    size = np.zeros(max(sizes["part"].to_pylist(), default=0) + 1, np.int64)
+    size[sizes["part"].to_numpy()] = sizes["n"].to_numpy()
+    starts = (np.cumsum(size) - size).astype("<i8")
+    store.put(spark.createDataFrame([(table.bits, table.freq.astype("<u4").tobytes(), starts.tobytes())], "bits int, freq binary, ranges binary").coalesce(1), "table")
     store.free(tokens)
     return store.path
 
 
-def _bucket(bounds: list[float]):
-    """Binary search for the range of a doc_id, as nested conditions of logarithmic depth."""
-    if not bounds:
-        return F.lit(0)
-    m = len(bounds) // 2
-    return F.when(F.col("doc_id") >= F.lit(bounds[m]), _bucket(bounds[m + 1 :]) + F.lit(m + 1)).otherwise(_bucket(bounds[:m]))
-
-
-def _blocks(ranged: DataFrame, table: Table, start: dict[int, int], most: int, kind: str) -> DataFrame:
+def _blocks(laid: DataFrame, table: Table, most: int, kind: str) -> DataFrame:
     bits, freq = table.bits, table.freq.astype(np.int64)
-    parts = max(start, default=0) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Table(freq, bits)
@@ -249,7 +241,7 @@ def _blocks(ranged: DataFrame, table: Table, start: dict[int, int], most: int, k
                     docs.clear()
                     held.clear()
                 if p != part:
-                    part, number, at = p, 0, start[p]
+                    part, number, at = p, 0, 0
                 docs.append(doc)
                 held.append(unpack(packed.as_py()))
                 size += len(held[-1])
@@ -260,22 +252,22 @@ def _blocks(ranged: DataFrame, table: Table, start: dict[int, int], most: int, k
     shape = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(doc_type), pa.list_(pa.int64()), pa.int64(), pa.binary()]
     names = ["part", "number", "start", "n_ids", "docs", "lengths", "ids_crc32", "payload"]
     schema = f"part int, number long, start long, n_ids long, docs array<{'string' if kind == 'string' else 'bigint'}>, lengths array<long>, ids_crc32 long, payload binary"
-    laid = ranged.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text_crc32")
     return bounded_batches(laid).select("doc_id", "ids", "part").mapInArrow(run, schema)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """Decodes the blocks in parallel: doc_id, start, n_tokens, ids_crc32 of each document. A block whose checksum differs raises."""
+    """Decodes the blocks in parallel: doc_id, start (in the whole output), n_tokens, ids_crc32 of each document. A block whose checksum differs raises; an empty output has no rows."""
     row = spark.read.parquet(f"{path}/*-table").first()
     blocks = spark.read.parquet(f"{path}/*-blocks")
     bits, freq = row["bits"], np.frombuffer(row["freq"], "<u4").astype(np.int64)
+    starts = np.frombuffer(row["ranges"], "<i8")  # a number for some tens of millions of ids
     kind = blocks.schema["docs"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Table(freq, bits)
         for batch in batches:
             for k in range(batch.num_rows):
-                n, at, docs, lengths, crc, payload = (batch.column(c)[k].as_py() for c in range(6))
+                n, at, docs, lengths, crc, payload, part = (batch.column(c)[k].as_py() for c in range(7))
                 ids = decode(payload, n, coder)
                 if checksum(ids) != crc:
                     raise ValueError("a block of token ids is damaged")
@@ -283,9 +275,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 begin = ends - lengths
                 sums = [checksum(ids[a:b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.string() if kind == "string" else pa.int64()), pa.array(at + begin), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())],
+                    [pa.array(docs, pa.string() if kind == "string" else pa.int64()), pa.array(starts[part] + at + begin), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
     # a block holds up to a million bytes; the reader hands a batch of rows to Python at once
-    return bounded_batches(blocks).select("n_ids", "start", "docs", "lengths", "ids_crc32", "payload").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return bounded_batches(blocks).select("n_ids", "start", "docs", "lengths", "ids_crc32", "payload", "part").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")

@@ -42,6 +42,34 @@ def test_odd_rows(spark, odd, none, library):
     assert token_output.read_token_files(spark, path).count() == 0
 
 
+def test_many_ranges(spark, documents, library):
+    """As many ranges as the ids ask for, in the order of doc_id, whatever their number."""
+    docs = documents.limit(60).repartition(3)
+    path = token_output.write_token_files(docs, PATH, 1, block=200, range_ids=200)
+    got = sorted(map(tuple, token_output.read_token_files(spark, path).collect()))
+    assert got == expected(library, [(r.doc_id, r.text) for r in docs.collect()])
+    blocks = spark.read.parquet(f"{path}/*-blocks").orderBy("part", "number").collect()
+    assert len({b.part for b in blocks}) > 20 and [d for b in blocks for d in b.docs] == sorted(r.doc_id for r in docs.collect())
+
+
+def test_text_ids(spark, library):
+    rows = [(f"id-{k:03d}", f"text {k}" * (k % 5)) for k in range(120)] + [(None, "no id"), ("id-007", "another text"), ("id-007", "another text"), ("", None)]
+    path = token_output.write_token_files(spark.createDataFrame(rows, "doc_id string, text string").repartition(4), PATH, 1, range_ids=40)
+    got = sorted(map(tuple, token_output.read_token_files(spark, path).collect()), key=lambda r: r[1])
+    ids = {(i, brute.crc([*library.encode(t or "", add_special_tokens=False).ids, 1])) for i, t in rows}
+    assert {(r[0], r[3]) for r in got} == ids and [r[0] or "" for r in got] == sorted(r[0] or "" for r in got) and got[0][0] is None
+    assert [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got])[:-1]]
+
+
+def test_an_id_with_most_rows(spark, library):
+    """Rows of one doc_id may fill several ranges."""
+    rows = [(5, f"text number {k}") for k in range(400)] + [(1, "first"), (9, "last")]
+    path = token_output.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH, 1, range_ids=100)
+    got = sorted(map(tuple, token_output.read_token_files(spark, path).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [1, *[5] * 400, 9] and [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got])[:-1]]
+    assert len({b.part for b in spark.read.parquet(f"{path}/*-blocks").collect()}) > 5
+
+
 def test_parts_of_words(library):
     import random
 
