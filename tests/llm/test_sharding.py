@@ -53,6 +53,31 @@ def test_rebalance():
     assert set(grown) == {0, 1, 2, 3} and sum(a != b for a, b in zip(second, grown, strict=True)) <= 5
 
 
+def test_three_versions_of_a_stored_map(spark, documents, tmp_path):
+    """Each run reads the stored map, edits it and adds a version; grown data and one more shard move few bytes."""
+    path = str(tmp_path / "map")
+    assert sharding.load_map(spark, path) is None
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    runs = []
+    for docs, shards in ((documents.filter("doc_id % 10 != 3"), 8), (documents, 8), (documents, 9)):
+        rows = sharding.shard_documents(docs, shards, 512, path).collect()
+        load = check(rows, texts, shards)
+        assert max(load.values()) - min(load.values()) <= max(r.size for r in rows)
+        runs.append({r.doc_id: (r.shard, r.map_version, r.vslot, r.size) for r in rows})
+    assert [{v for _, v, _, _ in r.values()} for r in runs] == [{2}, {3}, {4}]
+    versions = [sharding.load_map(spark, path, v)[1] for v in (1, 2, 3, 4)]
+    assert versions[0] == sharding.spread(512, 8) and sharding.load_map(spark, path) == (4, versions[3])
+    for run, shard in zip(runs, versions[1:], strict=True):
+        assert all(s == shard[vslot] for s, _, vslot, _ in run.values())
+    total = sum(size for *_, size in runs[1].values())
+    moved = [sum(b[i][3] for i in a if a[i][0] != b[i][0]) for a, b in zip(runs, runs[1:], strict=False)]
+    assert 0 < moved[0] < 0.35 * total and total / 9 * 0.8 < moved[1] < 0.35 * total
+    with pytest.raises(Exception, match="already exists"):
+        sharding.save_map(spark, path, 4, versions[3])
+    with pytest.raises(ValueError, match="virtual slots"):
+        sharding.edit_map(spark, path, [1, 2], 3)
+
+
 def test_no_python_in_plan(documents):
     plan = sharding.shard_documents(documents, 8)._jdf.queryExecution().toString()
     for word in ("Python", "Pandas", "Arrow"):
