@@ -3,7 +3,7 @@
 Words are runs of letters and digits, lower-cased. A seed is an n-gram of a test item. Any passage with
 a seed of an item is aligned with it, however many items share the seed and however many documents
 repeat the passage; the alignment alone decides. Each document is read once: its n-grams are
-looked up in the sorted seeds, hits of one item that lie near one diagonal form a passage, and the
+looked up in the sorted seeds, hits of one item no further apart than its length form a passage, and the
 passage is aligned with the item. Only confirmed passages leave a task. Items are broadcast in groups
 of a stated size, so a larger benchmark costs more passes, not more memory.
 """
@@ -33,11 +33,13 @@ CELLS = 1 << 22
 @dataclass(frozen=True)
 class Leak:
     """seed: words in a seed. weight: least number of matching seeds of a passage to align.
-    score: least alignment score as a share of the item's own. match, mismatch, gap: the alignment's costs."""
+    score: least alignment score as a share of the item's own. part: words in a row whose score is enough of itself,
+    however small a part of the item they are. match, mismatch, gap: the alignment's costs."""
 
     seed: int = 3
     weight: float = 1.0
     score: float = 0.45
+    part: int = 32
     match: int = 2
     mismatch: int = -1
     gap: int = -1
@@ -161,13 +163,14 @@ def item_groups(benchmark: DataFrame, id_column: str, spec: Leak) -> Iterator[It
 
 
 def confirmed(items: Items, hashes: np.ndarray, first: np.ndarray, spec: Leak) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, item, share of the item's own score) of the passages that reach the least score, the best of each row and item."""
+    """(row, item, share of the item's own score) of the passages that reach the least score or hold a long part, the best of each row and item."""
     row, item, begin, end = passages(items, hashes, first, spec)
     if not len(row):
         return row, item, np.zeros(0)
     size = np.array([len(items.words[k]) for k in item])
-    share = align([hashes[a:b] for a, b in zip(begin, end, strict=True)], [items.words[k] for k in item], spec) / (spec.match * size)
-    ok = np.flatnonzero(share >= spec.score)
+    score = align([hashes[a:b] for a, b in zip(begin, end, strict=True)], [items.words[k] for k in item], spec)
+    share = score / (spec.match * size)
+    ok = np.flatnonzero((share >= spec.score) | (score >= spec.match * spec.part))
     ok = ok[np.lexsort((-share[ok], item[ok], row[ok]))]
     new = np.ones(len(ok), bool)
     new[1:] = (row[ok][1:] != row[ok][:-1]) | (item[ok][1:] != item[ok][:-1])
@@ -176,7 +179,7 @@ def confirmed(items: Items, hashes: np.ndarray, first: np.ndarray, spec: Leak) -
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_id", spec: Leak | None = None) -> DataFrame:
-    """doc_id, item_id, score (alignment with the item as a share of the item's own score) and n_words (the item's) of every document and item whose score reaches the least.
+    """doc_id, item_id, score (alignment with the item as a share of the item's own score) and n_words (the item's) of every document and item whose score reaches the least, or is that of a long part of the item.
 
     A document that holds an item several times has its best score once. Null and empty texts hold
     nothing, items without words are never found, repeated rows and null doc_ids each have their own
@@ -207,7 +210,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_id"
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_id", spec: Leak | None = None) -> DataFrame:
-    """The documents, with all their columns, that hold no test item."""
+    """The documents, with all their columns of whatever names, that hold no test item, nor a long part of one.
+
+    Null and empty texts hold nothing and stay; texts are read whole, of any length; repeated rows stay or go
+    together, and rows with a null doc_id are judged like any other. An empty benchmark leaves all.
+    """
     spec = spec or Leak()
     for items in item_groups(benchmark, id_column, spec):
         sent = docs.sparkSession.sparkContext.broadcast(items)
