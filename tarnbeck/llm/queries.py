@@ -24,7 +24,7 @@ def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_piece.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return sentence_piece.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,7 +103,7 @@ class Coder:
 
     def matches(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(begin, end, id) of all occurrences of pieces in a text of code points, by binary search in its suffix array."""
-        order = suffix_array(codes)
+        order = suffix_array(codes, self.table.shape[1])
         n, wide = len(codes), self.table.shape[1]
         padded = np.concatenate([codes, np.zeros(wide, codes.dtype)])
         possible = np.flatnonzero(np.isin(self.table, np.append(np.unique(codes), 0)).all(axis=1))  # of characters that occur
@@ -248,8 +248,8 @@ def spaced(piece: Piece) -> Piece:
     return Piece(piece.lo, piece.hi, np.frombuffer(b"".join(texts), np.uint8), off)
 
 
-def suffix_array(codes: np.ndarray) -> np.ndarray:
-    """Suffixes in order, as far as 16 characters, the longest piece, tell them apart.
+def suffix_array(codes: np.ndarray, least: int = 16) -> np.ndarray:
+    """Suffixes in order, as far as `least` characters, those of the longest piece, tell them apart.
 
     The first ranks pack as many characters as fit into 63 bits; prefix doubling does the rest.
     """
@@ -264,7 +264,7 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
         key |= letters[k : k + n]
     while True:
         order = np.argsort(key)
-        if width >= 16:
+        if width >= least:
             return order
         s = key[order]
         step = np.ones(n, np.int64)
@@ -285,8 +285,9 @@ def encode_documents(docs: DataFrame, model: str, keep: list[str] | None = None,
     """doc_id and `keep` columns, then ids (array of int, if asked for), n_tokens, ids_crc32 (of little-endian unsigned 32-bit integers) and round_trip (whether decoding gives the text back).
 
     Null and empty texts have no ids and decode to the empty text. A text that holds the white-space
-    mark itself decodes with spaces in its place, so round_trip is false there. Repeated rows and null
-    doc_ids are encoded alike.
+    mark itself decodes with spaces in its place, so round_trip is false there. Texts of any length are
+    encoded whole. Repeated rows and null doc_ids are encoded alike; columns that are not kept play no
+    part; no documents give no rows.
     """
     keep = keep or []
 
@@ -318,7 +319,11 @@ def encode_documents(docs: DataFrame, model: str, keep: list[str] | None = None,
 
 
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
-    """doc_id and text of documents given as doc_id and ids; null ids give an empty text."""
+    """doc_id and text of documents given as doc_id and ids.
+
+    Null and empty ids give an empty text; an id that the model does not have raises. Null doc_ids and
+    repeated rows each have their row; other columns play no part; no documents give no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded = coder(model)
