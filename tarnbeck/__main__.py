@@ -13,13 +13,11 @@ from tarnbeck.operators import filter_rows, group_by, select, with_column
 from tarnbeck.session import get_spark
 
 
-def people(spark: SparkSession, rows: int) -> DataFrame:
-    """Made-up employees, built by the executors."""
-    n = F.col("id")
-    depts = F.array(*map(F.lit, ("Engineering", "Sales", "Marketing", "HR", "Finance")))
-    return spark.range(rows).select(
-        F.concat(F.lit("Employee_"), n).alias("name"), (25 + n % 40).alias("age"), (40000.0 + (n % 60) * 1000).alias("salary"), F.element_at(depts, (n % 5 + 1).cast("int")).alias("department")
-    )
+def readings(spark: SparkSession, rows: int) -> DataFrame:
+    """Made-up gauge readings of rivers, built by the executors."""
+    gauge = F.concat(F.lit("g"), F.pmod(F.xxhash64("id"), F.lit(12)).cast("string"))
+    level = F.round(80 + 40 * F.sin(F.col("id") / 500) + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)) / 100, 2)
+    return spark.range(rows).select(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 900).alias("at"), gauge.alias("gauge"), level.alias("level_cm"), (F.col("id") % 24 / 2.0).alias("rain_mm"))
 
 
 def main(args: list[str] | None = None) -> None:
@@ -29,12 +27,12 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("-v", "--verbose", action="store_true")
     a = p.parse_args(args)
     spark, m = get_spark(master="local[*]"), Metrics()
-    df = people(spark, a.rows or (1000 if a.what == "demo" else 1_000_000))
+    df = readings(spark, a.rows or (1000 if a.what == "demo" else 1_000_000))
     with m.timed("filter, with_column, select"):
-        out = select(with_column(filter_rows(df, F.col("age") > 30), "monthly", safe_div("salary", F.lit(12))), "name", "department", "monthly")
+        out = select(with_column(filter_rows(df, F.col("level_cm") > 100), "level_m", safe_div("level_cm", F.lit(100))), "at", "gauge", "level_m")
         n = out.count()
     with m.timed("group_by"):
-        groups = group_by(df, "department").agg(mean("salary"), count_all()).orderBy("department")
+        groups = group_by(df, "gauge").agg(mean("level_cm"), count_all()).orderBy("gauge")
         rows = groups.collect()
     if a.verbose:
         groups.explain("formatted")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tarnbeck import functions as fn
 from tarnbeck import operators as op
+from tarnbeck.frame import Frame
 from tarnbeck.functions import CURRENT_ROW, UNBOUNDED_FOLLOWING, UNBOUNDED_PRECEDING, following, over, preceding, with_window
 from tarnbeck.plans import round_trips
 from tarnbeck.sources import read_parquet
@@ -87,21 +88,7 @@ add("safe_div", over_table("lineitem", "l_orderkey l_linenumber l_quantity", lam
 
 # joins
 CU, OR = "c_custkey c_name c_nationkey", "o_orderkey o_custkey o_totalprice"
-JOINED = "c_custkey, c_name, c_nationkey, o_orderkey, o_custkey, o_totalprice"
-
-
-def joined(how: str, strategy: str | None = None) -> Query:
-    return lambda s, d: op.join(op.filter_rows(table("customer", CU)(s, d), F.col("c_custkey") % 3 != 0), op.filter_rows(table("orders", OR)(s, d), F.col("o_custkey") % 5 != 1), "c_custkey", "o_custkey", how, strategy)
-
-
-_SIDES = "(SELECT * FROM customer WHERE c_custkey % 3 <> 0) c {} JOIN (SELECT * FROM orders WHERE o_custkey % 5 <> 1) o ON c_custkey = o_custkey"
-for _how in ("inner", "left", "right", "full"):
-    add(f"join_{_how}", joined(_how), f"SELECT {JOINED} FROM {_SIDES.format(_how)}")
-for _strategy in ("broadcast", "merge", "hash"):
-    add(f"join_{'shuffle_hash' if _strategy == 'hash' else _strategy}", joined("inner", _strategy), f"SELECT {JOINED} FROM {_SIDES.format('inner')}")
-for _how in ("semi", "anti"):
-    add(f"join_{_how}", joined(_how), f"SELECT c_custkey, c_name, c_nationkey FROM {_SIDES.format(_how)}")
-# the same joins over the whole tables; c_key and o_key are null once on either side, so both have rows without a partner
+# joins over the whole tables; c_key and o_key are null once on either side, so both have rows without a partner
 WHOLE = "c_custkey, c_name, c_nationkey, c_key, o_orderkey, o_custkey, o_totalprice, o_key"
 
 
@@ -161,6 +148,13 @@ add("having_only", over_table("orders", H, lambda df: op.group_by(df, "o_custkey
 add("corr", over_table("lineitem", "l_quantity l_extendedprice", lambda df: op.correlation(df, "l_quantity", "l_extendedprice").select(F.round("correlation", 8).alias("correlation"))), "SELECT round(corr(l_quantity, l_extendedprice), 8) AS correlation FROM lineitem")
 add("corr_constant", over_table("lineitem", "l_quantity", lambda df: op.correlation(df.withColumn("one", F.lit(1)), "l_quantity", "one")), "SELECT 0.0::DOUBLE AS correlation")
 
+add("having_lineitem", over_table("lineitem", L, lambda df: op.group_by(df, "l_returnflag", "l_linenumber").agg_with_having(F.col("n") > 10, F.round(F.sum("l_extendedprice"), 2).alias("total"), F.count("*").alias("n"))),
+    "SELECT l_returnflag, l_linenumber, round(sum(l_extendedprice), 2) AS total, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 10")
+add("agg_own_names", over_table("lineitem", L, lambda df: op.group_by(df, "l_returnflag").agg(fn.sum_("l_linenumber"), fn.mean("l_linenumber"), fn.count("l_linenumber"), fn.count_all(), fn.min_("l_linenumber"), fn.max_("l_linenumber")).withColumn("mean_l_linenumber", F.round("mean_l_linenumber", 8))),
+    'SELECT l_returnflag, CAST(sum(l_linenumber) AS BIGINT) AS sum_l_linenumber, round(avg(l_linenumber), 8) AS mean_l_linenumber, count(l_linenumber) AS count_l_linenumber, count(*) AS "count_*", min(l_linenumber) AS min_l_linenumber, max(l_linenumber) AS max_l_linenumber FROM lineitem GROUP BY 1')
+add("frame_chain", lambda s, d: Frame(table("orders", "o_orderkey o_custkey o_totalprice o_orderstatus")(s, d)).filter(F.col("o_totalprice") > 50000, F.col("o_orderstatus") != "P").with_column("k", F.round(F.col("o_totalprice") / 1000)).group_by("k").agg_with_having(F.col("n") > 3, F.count("*").alias("n")).sort_by(["k"]).df,
+    "SELECT round(o_totalprice / 1000) AS k, count(*) AS n FROM orders WHERE o_totalprice > 50000 AND o_orderstatus <> 'P' GROUP BY 1 HAVING count(*) > 3")
+
 # windows
 W, WC = over().partition_by("o_custkey").order_by("o_orderkey"), "o_custkey o_orderkey o_totalprice"
 WD = over().partition_by("o_orderstatus").order_by("o_orderpriority")
@@ -196,6 +190,22 @@ EAGER = {"row_number": "row_number() OVER (PARTITION BY user_id ORDER BY event_i
 for _name, _sql in EAGER.items():
     add(f"window_function_{_name}", over_table("events", "event_id user_id value", lambda df, f=_name: op.window_function(df, f, "value", ["event_id"], ["user_id"])), f'SELECT event_id, user_id, value, {_sql} AS "{_name}" FROM events')
 
+# windows and orders with nulls, doubles, booleans and timestamps
+NULLABLE = "(SELECT o_orderkey, o_orderstatus, nullif(o_orderpriority, '2-HIGH') AS p, CASE WHEN o_totalprice < 100000 THEN NULL ELSE o_totalprice END AS price, o_orderdate, o_totalprice > 150000 AS big FROM orders)"
+
+
+def nullable(spark: SparkSession, d: str) -> DataFrame:
+    df = table("orders", "o_orderkey o_orderstatus o_orderpriority o_totalprice o_orderdate")(spark, d)
+    return df.select("o_orderkey", "o_orderstatus", F.nullif(F.col("o_orderpriority"), F.lit("2-HIGH")).alias("p"), F.when(F.col("o_totalprice") >= 100000, F.col("o_totalprice")).alias("price"), "o_orderdate", (F.col("o_totalprice") > 150000).alias("big"))
+
+
+for _name, _order, _up, _sql in (("rank_null_text", "p", True, "rank() OVER (PARTITION BY o_orderstatus ORDER BY p NULLS FIRST)"), ("rank_null_double", "price", False, "rank() OVER (PARTITION BY o_orderstatus ORDER BY price DESC NULLS LAST)"),
+                                 ("dense_rank_bool", "big", True, "dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY big)"), ("rank_timestamp", "o_orderdate", False, "rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate DESC)")):
+    add(f"win_{_name}", lambda s, d, o=_order, u=_up, f=_name.rsplit("_", 2 if _name.startswith("rank_null") else 1)[0]: with_window(nullable(s, d), "w", f, spec=over().partition_by("o_orderstatus").order_by(o, u)), f"SELECT *, {_sql} AS w FROM {NULLABLE}")
+add("win_null_key", lambda s, d: with_window(nullable(s, d), "w", "sum", "price", spec=over().partition_by("p")).withColumn("w", F.round("w", 2)), f"SELECT *, round(sum(price) OVER (PARTITION BY p), 2) AS w FROM {NULLABLE}")
+add("sort_bool_timestamp", lambda s, d: op.head(nullable(s, d), 200, ["big", "o_orderdate", "o_orderkey"], [False, True, True]), f"SELECT * FROM {NULLABLE} ORDER BY big DESC, o_orderdate, o_orderkey LIMIT 200")
+add("sort_nulls", lambda s, d: op.head(nullable(s, d), 200, ["p", "price", "o_orderkey"], [True, False, True]), f"SELECT * FROM {NULLABLE} ORDER BY p NULLS FIRST, price DESC NULLS LAST, o_orderkey LIMIT 200")
+
 # sorting and row counts
 add("sort_single", over_table("orders", "o_orderkey o_totalprice", lambda df: op.sort_by(df, ["o_orderkey"])), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY 1")
 add("sort_multi", over_table("orders", "o_orderkey o_orderstatus", lambda df: op.sort_by(df, ["o_orderstatus", "o_orderkey"], [True, False])), "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderstatus, o_orderkey DESC")
@@ -268,11 +278,34 @@ SQL = {
     "sql_cte_union": ("nation region", "WITH a AS (SELECT n_name AS name FROM nation), b AS (SELECT r_name AS name FROM region) SELECT name FROM a UNION ALL SELECT name FROM b"),
     "sql_window": ("orders", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS n FROM orders"),
     "sql_global_aggregate": ("orders", "SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders"),
+    "sql_exists": ("customer orders", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000) AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')"),
+    "sql_extract": ("events", "SELECT event_id, CAST(extract(year FROM ts) AS INT) AS y, CAST(extract(month FROM ts) AS INT) AS m, CAST(extract(day FROM ts) AS INT) AS d, CAST(extract(hour FROM ts) AS INT) AS h, ts < now() AS past FROM events"),
+    "sql_functions": ("customer", "SELECT c_custkey, upper(c_name) AS u, length(trim(c_mktsegment)) AS n, abs(c_acctbal) AS a, coalesce(nullif(c_nationkey, 3), -1) AS k, concat(c_mktsegment, '!') AS s, substring(c_name, 1, 4) AS b FROM customer"),
     "sql_precedence": ("orders", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' OR o_orderstatus = 'O' AND o_totalprice > 250000"),
 }
 for _name, (_tables, _sql) in SQL.items():
     add(_name, by_sql(_tables, _sql), _sql)
 
+
+def prepared(spark: SparkSession, d: str) -> DataFrame:
+    """One prepared query, run with two sets of values."""
+    ex = SqlExecutor(spark)
+    ex.register("orders", table("orders")(spark, d))
+    q = ex.prepare("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN :low AND :high")
+    return op.concat(q.execute(low=10000, high=20000), q.execute(low=200000, high=210000))
+
+
+add("sql_prepared", prepared, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 10000 AND 20000 OR o_totalprice BETWEEN 200000 AND 210000")
+
+
+def batch(spark: SparkSession, d: str) -> DataFrame:
+    ex = SqlExecutor(spark)
+    ex.register("nation", table("nation")(spark, d))
+    return op.concat(*ex.batch(["SELECT n_name AS v FROM nation WHERE n_regionkey = 1", "SELECT upper(n_name) AS v FROM nation"]))
+
+
+add("sql_batch", batch, "SELECT n_name AS v FROM nation WHERE n_regionkey = 1 UNION ALL SELECT upper(n_name) FROM nation")
+
 # sources, sinks and streams that go through files
 for _name, (_query, _sql) in round_trips.QUERIES.items():
     add(_name, _query, _sql)

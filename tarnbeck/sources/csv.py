@@ -10,15 +10,16 @@ from tarnbeck.sources.inference import cast_all, infer_types
 
 
 def read_csv(
-    spark: SparkSession, path: str, delimiter: str = ",", comment: str | None = None, header: bool = True, skip_initial_space: bool = False, schema: T.StructType | None = None, strict: bool = True
+    spark: SparkSession, path: str, delimiter: str = ",", comment: str | None = None, header: bool = True, skip_initial_space: bool = False, schema: T.StructType | None = None, strict: bool = True, multi_line: bool = False
 ) -> DataFrame:
     """Reads CSV with the given schema, or infers it in one pass over all rows.
 
     Without a header, columns are named column_0, column_1, ... Blank cells of typed columns are null,
     those of text columns empty. strict fails on rows with a differing number of fields; otherwise
-    missing ones are blank. A file with just a header gives text columns and no rows.
+    missing ones are blank. A file with just a header gives text columns and no rows. Files are split, a
+    task to each part; with multi_line, quoted cells may hold line feeds, and a file is one task's.
     """
-    reader = spark.read.options(sep=delimiter, header=header, ignoreLeadingWhiteSpace=skip_initial_space, quote='"', escape='"', multiLine=True, mode="FAILFAST" if strict else "PERMISSIVE", emptyValue="", nullValue="\u0000")
+    reader = spark.read.options(sep=delimiter, header=header, ignoreLeadingWhiteSpace=skip_initial_space, quote='"', escape='"', multiLine=multi_line, mode="FAILFAST" if strict else "PERMISSIVE", emptyValue="", nullValue="\u0000")
     if comment:
         reader = reader.option("comment", comment)
     if schema is not None:

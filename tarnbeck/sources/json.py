@@ -46,11 +46,16 @@ def read_json(
 
 
 def write_json(df: DataFrame, path: str, lines: bool = True, mode: str = "errorifexists") -> None:
-    """Writes a folder of JSON Lines, nulls included. lines=False writes one array in one file, for small results: it passes through one task."""
+    """Writes a folder of JSON Lines, nulls included. lines=False writes one array in one file, a row to a line: the rows pass through one task, but none holds more than one of them."""
     if lines:
         df.write.mode(mode).option("ignoreNullFields", False).json(path)
         return
     if len(df.columns) == 0:
         raise EngineError("write_json", "no columns")
-    rows = df.select(F.struct("*").alias("row")).agg(F.to_json(F.collect_list("row"), {"ignoreNullFields": "false"}).alias("value"))
-    rows.coalesce(1).write.mode(mode).text(path)
+    row = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    # the first row opens the array, the others follow a comma, and a last line closes it
+    rows = df.select(row.alias("value")).coalesce(1).select(F.concat(F.when(F.monotonically_increasing_id() == 0, "[").otherwise(","), "value").alias("value"))
+    ends = df.sparkSession.range(0, 1, 1, 1).select(F.lit("]").alias("value"))
+    if rows.isEmpty():
+        ends = ends.select(F.lit("[]").alias("value"))
+    rows.unionByName(ends).coalesce(1).write.mode(mode).text(path)

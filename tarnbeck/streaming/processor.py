@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from threading import Event
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from tarnbeck.errors import EngineError, require_columns
 
@@ -21,6 +23,31 @@ class StreamStats:
     rows: int = 0
 
 
+class _Counter(StreamingQueryListener):
+    """Counts every micro-batch of the run that `of` names; a query itself remembers the last hundred or so."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, dict[int, int]] = {}
+        self.ended: dict[str, Event] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.ended.setdefault(str(event.runId), Event())
+
+    def onQueryProgress(self, event) -> None:
+        self.seen.setdefault(str(event.progress.runId), {})[event.progress.batchId] = event.progress.numInputRows
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.setdefault(str(event.runId), Event()).set()
+
+    def of(self, run: str) -> StreamStats:
+        self.ended.setdefault(run, Event()).wait(60)  # events come in order, each after its batch
+        batches = self.seen.get(run, {})
+        return StreamStats(len(batches), sum(batches.values()))
+
+
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, format: str = "parquet", max_files: int | None = None) -> DataFrame:
     """A stream of the files of a folder; max_files bounds a micro-batch."""
     reader = spark.readStream.format(format).schema(schema)
@@ -45,15 +72,19 @@ def process_stream(
             raise EngineError("process_stream", f"operation {op[0]} failed: {e}") from e
 
     out = reduce(apply, [(k, op) for k, op in enumerate(operations) if op is not None], stream)
+    counter = _Counter()
+    stream.sparkSession.streams.addListener(counter)
     writer = out.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    query = (writer.foreachBatch(sink) if callable(sink) else writer.format("parquet").option("path", sink)).start()
     try:
-        if not query.awaitTermination(timeout) and timeout is not None:
-            raise EngineError("process_stream", f"not done after {timeout} seconds")
-        done = query.recentProgress
-        return StreamStats(len(done), sum(p.numInputRows for p in done))
+        query = (writer.foreachBatch(sink) if callable(sink) else writer.format("parquet").option("path", sink)).start()
+        try:
+            if not query.awaitTermination(timeout) and timeout is not None:
+                raise EngineError("process_stream", f"not done after {timeout} seconds")
+        finally:
+            query.stop()
+        return counter.of(str(query.runId))
     finally:
-        query.stop()
+        stream.sparkSession.streams.removeListener(counter)
 
 
 def windowed_counts(df: DataFrame, time: str, length: str, slide: str | None, keys: list[str], late: str = "0 seconds") -> DataFrame:

@@ -115,3 +115,34 @@ def test_properties(spark, seed):
     assert [r.v for r in op.sort_by(df, ["v"]).collect()] == sorted((v for (v,) in rows), key=lambda v: (v is not None, v or 0))
     assert len(op.with_column(df, "w", F.col("v") + 1).columns) == 2
     assert op.group_by(df, "v").count().count() == len(set(rows))
+
+
+def test_statistics_of_many_batches(spark, tmp_path):
+    """More micro-batches than a query remembers are all counted."""
+    src = tmp_path / "in"
+    spark.range(0, 1300, 1, 130).write.parquet(str(src))
+    stats = process_stream(read_stream(spark, str(src), spark.range(1).schema, max_files=1), [], lambda df, k: df.write.format("noop").mode("append").save(), str(tmp_path / "state"), 300)
+    assert (stats.batches, stats.rows) == (130, 1300)
+
+
+def test_frame(spark):
+    from tarnbeck.frame import Frame
+
+    f = Frame(spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "x long, k string"))
+    assert (f.columns, f.width, f.has_column("x"), f.type_of("x"), f.count(), f.is_empty()) == (["x", "k"], 2, True, "bigint", 3, False)
+    assert [tuple(r) for r in f.filter(F.col("x") > 1).sort_by(["x"], [False]).select("k").collect()] == [("a",), ("b",)]
+    assert sorted(map(tuple, f.group_by("k").agg(F.sum("x").alias("s")).collect())) == [("a", 4), ("b", 2)]
+    assert f.join(f.drop("x").limit(1), "k").count() == 2 and f.concat(f).head(1, ["x"]).collect()[0].x == 1
+    assert "x: bigint" in repr(f)
+    with pytest.raises(EngineError):
+        f.type_of("nothing")
+
+
+def test_entry_without_packages_of_the_subpackage():
+    """The other queries register where a package that only the optional subpackage uses is missing."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['zstandard'] = sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; assert 'flagship' in e.queries() and not any(n.startswith('op1') for n in e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])

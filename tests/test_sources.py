@@ -82,3 +82,27 @@ def test_memory(spark):
     assert from_rows(spark, [], "a bigint").count() == 0
     with pytest.raises(EngineError):
         from_rows(spark, [(1, 2)], "a bigint")
+
+
+def test_csv_files_are_split(spark, tmp_path):
+    """A file is several tasks' unless cells may hold line feeds."""
+    path = put(tmp_path, "long.csv", "a,b\n" + "".join(f"{k},text of row {k}\n" for k in range(20000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 64 << 10)
+    try:
+        df = read_csv(spark, path)
+        assert df.rdd.getNumPartitions() > 3 and df.count() == 20000 and df.agg({"a": "sum"}).first()[0] == sum(range(20000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    fed = put(tmp_path, "fed.csv", 'a,b\n1,"x\ny"\n2,z\n')
+    assert rows(read_csv(spark, fed, multi_line=True)) == [(1, "x\ny"), (2, "z")]
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 3000])
+def test_json_array_of_any_size(spark, tmp_path, n):
+    import json
+
+    path = tmp_path / "out"
+    df = spark.range(0, n, 1, 6).selectExpr("id", "if(id % 3 = 0, null, concat('t\"', id)) as t")
+    write_json(df, str(path), lines=False)
+    (part,) = path.glob("part-*")
+    assert json.loads(part.read_text()) == [{"id": k, "t": None if k % 3 == 0 else f't"{k}'} for k in range(n)]
