@@ -5,7 +5,9 @@ How the work stays bounded when one group holds a large share of all documents:
 * texts with equal shingle sets form one class first, by partial aggregation;
 * a bucket of classes never yields its pairs: every member is compared with one pivot, so candidates
   are linear in bucket size; signatures drop most of them before any set is read;
-* members that this leaves in different components of one bucket are joined exactly: similar sets must
+* a bucket whose members are then in different components gets other pivots, turn by turn, as long as
+  that settles many; most of a large group of near copies becomes one component so;
+* what this leaves in different components of one bucket is joined exactly: similar sets must
   share one of their rarest shingles, near the front of both, so only classes that do are compared, and
   only across components. Texts that have a long common part and else differ share no rare shingle, so
   a thousand of them make no candidates;
@@ -36,6 +38,8 @@ from tarnbeck.llm.text import Piece, bounded_batches, grams, mix, pieces, words
 BLOCK = 4096
 #: Places that shingles are counted in to tell the rare ones; the counts are broadcast.
 PLACES = 1 << 18
+#: Share of unsettled rows that a turn of stars may leave for another turn to be worth it.
+SETTLED = 0.75
 #: Shingles hashed at once.
 CHUNK = 1024
 
@@ -337,21 +341,30 @@ def near_duplicates(docs: DataFrame, spec: MinHash | None = None) -> DataFrame:
     links = confirm(stars, classes, sets, spec, store).unionByName(same_id)
     known = store.put(components(links, store), "known")
 
-    # buckets of three or more whose members are not yet in one component
-    labelled = members.filter("n > 2").join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    unsettled = labelled.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).filter("a != b").select("bucket", "n")
-    unsettled = store.put(unsettled, "unsettled")
-    rows = unsettled.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    if rows:
-        rest = store.put(join_split(labelled.drop("n"), unsettled, "bucket", "n", rows).select("node", "comp").distinct(), "rest")
-        more = rare_pairs(rest.join(sets, "node"), spec, store)
-        links = links.unionByName(confirm(more, classes, sets, spec, store))
-        found = store.put(components(links, store), "components")
-    else:
-        found = known
+    # buckets of three or more whose members are not yet in one component: stars of other members, while they settle many
+    last, turn = None, 0
+    while True:
+        turn += 1
+        labelled = members.filter("n > 2").drop("n", "pivot").join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        chosen = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp")))
+        unsettled = labelled.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n"), chosen.alias("star")).filter("a != b")
+        unsettled = store.put(unsettled.select("bucket", "n", "star.pivot", "star.pivot_comp"), "unsettled")
+        rows = unsettled.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not rows:
+            break
+        open_rows = join_split(labelled, unsettled, "bucket", "n", rows)
+        if last is not None and rows > SETTLED * last:  # the rest by an exact join
+            rest = store.put(open_rows.select("node", "comp").distinct(), "rest")
+            links = links.unionByName(confirm(rare_pairs(rest.join(sets, "node"), spec, store), classes, sets, spec, store))
+            known = store.put(components(links, store), "known")
+            break
+        last = rows
+        pairs = open_rows.filter("comp != pivot_comp").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
+        links = links.unionByName(confirm(store.put(pairs, "stars"), classes, sets, spec, store))
+        known = store.put(components(links, store), "known")
 
     # a component's smallest doc_id, then that of each class, then of each document
-    placed = store.put(found.join(classes.select("node", "label"), "node"), "placed")
+    placed = store.put(known.join(classes.select("node", "label"), "node"), "placed")
     roots = placed.groupBy("comp").agg(F.min("label").alias("root"), F.count("*").alias("n"))
     rooted = join_split(placed, roots, "comp", "n", placed.count()).select("node", "root").distinct()
     rooted = store.put(classes.select(*key, "node", "label", "copies").join(rooted, "node", "left").select(*key, "copies", F.coalesce("root", "label").alias("root")), "rooted")
