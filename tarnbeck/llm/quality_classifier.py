@@ -2,14 +2,15 @@
 
 A document of label 1 is preferred to one of label 0. The scores are linear in features of the whole
 text; the chance that one document beats another is the logistic of the difference of their scores,
-so the weights are fitted by logistic loss on differences of features. The threshold is the quantile
-of the sample's scores below which rejecting documents agrees best with the labels.
+so the weights are fitted by logistic loss on differences of features of a bounded sample. The threshold
+is a quantile of the scores of all documents, taken from a histogram of them: of 512 quantiles, the one
+below which rejecting documents agrees best with the sample's labels.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,9 @@ from tarnbeck.llm.quality_rules import later, per_row, repeated
 from tarnbeck.llm.text import Hasher, Piece, bounded_batches, grams, keep_rows, mix, pieces, spans, words
 from tarnbeck.llm.training import labelled_sample
 
+#: Levels of the quantiles among which the threshold lies.
+LEVELS = np.linspace(0, 1, 513)
+
 FEATURES = [
     "log_words", "few_words", "word_chars", "long_words", "distinct_words", "symbols", "bars", "marks", "stops", "digits", "upper", "upper_words",
     "short_lines", "line_words", "dup_lines", "dup_trigrams", "dup_pentagrams", "punctuated_words", "braces", "wide",
@@ -106,7 +110,7 @@ class RankModel:
 def fit(x: np.ndarray, y: np.ndarray, at: float, pairs: int = 40_000, ridge: float = 1e-3) -> RankModel:
     """Bradley-Terry weights by Newton's method on `pairs` random preference pairs, then the threshold.
 
-    The threshold lies between two quantiles of the scores and gives the fewest labels of either value
+    The threshold lies between two quantiles of these rows' scores and gives the fewest labels of either value
     on its wrong side, each side's errors counted as a share of its label.
     """
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
@@ -123,19 +127,43 @@ def fit(x: np.ndarray, y: np.ndarray, at: float, pairs: int = 40_000, ridge: flo
         w += step
         if np.abs(step).max() < 1e-6:
             break
-    s = z @ w
-    cuts = np.quantile(s, np.linspace(0, 1, 513))
-    cuts = (cuts[1:] + cuts[:-1]) / 2
-    wrong = np.array([(s[bad] >= c).mean() + 2 * (s[good] < c).mean() for c in cuts])  # losing a good document counts double
-    best = cuts[wrong <= wrong.min() + 1e-12].mean()
-    model = RankModel(mean, scale, w, float(best), at, 1.0)
-    spread = np.median(np.abs(s - best)) + 1e-6
-    model.slope = 2.0 / spread
-    return model
+    model = RankModel(mean, scale, w, 0.0, at, 1.0)
+    return place(model, z @ w, y, np.quantile(z @ w, LEVELS))
+
+
+def place(model: RankModel, s: np.ndarray, y: np.ndarray, quantiles: np.ndarray) -> RankModel:
+    """The model with its threshold between two of these quantiles, where the fewest of the sample's scores s are on the wrong side of their labels y."""
+    cuts = (quantiles[1:] + quantiles[:-1]) / 2
+    wrong = np.array([(s[y == 0] >= c).mean() + 2 * (s[y == 1] < c).mean() for c in cuts])  # losing a good document counts double
+    best = float(cuts[wrong <= wrong.min() + 1e-12].mean())
+    return replace(model, threshold=best, slope=2.0 / (np.median(np.abs(s - best)) + 1e-6))
+
+
+def corpus_quantiles(docs: DataFrame, model: RankModel, s: np.ndarray) -> np.ndarray:
+    """LEVELS of the scores of all documents, each rounded to the next of the sample's scores s: a count per such score and task is all that is shuffled."""
+    edges = np.unique(s)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(edges) + 1, np.int64)
+        for batch in batches:
+            for piece in pieces(batch.column(0)):
+                total += np.bincount(np.searchsorted(edges, model.raw(features(piece))), minlength=len(total))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["edge", "n"])
+
+    found = bounded_batches(docs).select("text").mapInArrow(run, "edge long, n long").groupBy("edge").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(len(edges) + 1, np.int64)
+    n[found["edge"].to_numpy()] = found["n"].to_numpy()
+    below = np.cumsum(n)
+    return edges[np.minimum(np.searchsorted(below, LEVELS * below[-1]), len(edges) - 1)]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", at: float = 0.3, per_label: int = 4000) -> RankModel | None:
-    """Learns from about per_label labelled documents of each value at most; None if there are none. The texts stay on the executors."""
+    """Learns the weights from about per_label labelled documents of each value, and takes the threshold from the scores of all documents.
+
+    None if there are no labelled documents. Null and empty texts are texts without words; null ids and
+    labels teach nothing; repeated rows count as often as they are there. The texts stay on the executors.
+    """
     sample = labelled_sample(docs, labels, label, per_label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,11 +175,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", at: float
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = bounded_batches(sample).select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(run, f"doc_id {kind}, label int, x array<double>").collect()
     found.sort(key=lambda r: (str(r["doc_id"]), r["label"], r["x"]))
-    return fit(np.array([r["x"] for r in found]), np.array([r["label"] for r in found]), at) if found else None
+    if not found:
+        return None
+    x, y = np.array([r["x"] for r in found]), np.array([r["label"] for r in found])
+    model = fit(x, y, at)
+    if not model.weight.any():
+        return model
+    s = model.raw(x)
+    return place(model, s, y, corpus_quantiles(docs, model, s))
 
 
 def score(docs: DataFrame, model: RankModel | None) -> DataFrame:
-    """doc_id and score (0 to 1, higher for better) of each document, by its whole text; null and empty texts are scored as texts without words, and 1 if nothing was learned."""
+    """doc_id and score (0 to 1, higher for better) of each document, by its whole text, of any length; 1 if nothing was learned.
+
+    Null and empty texts are scored as texts without words. Null doc_ids and repeated rows each have their
+    row, equal texts equal scores; other columns play no part; no documents give no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +203,10 @@ def score(docs: DataFrame, model: RankModel | None) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame, model: RankModel | None, least: float = 0.3) -> DataFrame:
-    """The documents, with all their columns, that score at least `least`; all if nothing was learned."""
+    """The documents, with all their columns of whatever names, that score at least `least`; all if nothing was learned.
+
+    Null and empty texts are judged as texts without words. Repeated rows stay or go together; no documents give none.
+    """
 
     def keep(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
         for piece in pieces(texts):

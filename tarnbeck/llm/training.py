@@ -15,11 +15,6 @@ MOST_LABELS = 256
 _SPAN = 1 << 31
 
 
-def crc_of(doc_id: Column | str) -> Column:
-    """crc32 of a doc_id written as text."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary"))
-
-
 def remainder(doc_id: str, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n

@@ -219,6 +219,87 @@ def test_bradley_terry_recovers_an_order():
     assert m.weight[0] > 0 > m.weight[1] and ((s >= 0.3) == y).mean() > 0.95
 
 
+def test_ranking_against_plain_gradient():
+    """The weights are those at which the logistic loss of the preference pairs is least, and the threshold is the best of all cuts."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 4))
+    y = (x @ [1.0, -2.0, 0.5, 0.0] + rng.normal(size=400) > 0.3).astype(int)
+    m = quality_classifier.fit(x, y, 0.3, pairs=3000)
+    z = np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6), -8, 8)
+    pick = np.random.default_rng(0)
+    d = z[pick.choice(np.flatnonzero(y == 1), 3000)] - z[pick.choice(np.flatnonzero(y == 0), 3000)]
+    loss = lambda w: sum(np.log1p(np.exp(-v)) for v in d @ w) / 3000 + 0.5e-3 * float(w @ w)
+    for k in range(4):
+        for step in (-1e-3, 1e-3):
+            other = m.weight.copy()
+            other[k] += step
+            assert loss(m.weight) < loss(other)
+    s = m.raw(x)
+    wrong = lambda c: (s[y == 0] >= c).mean() + 2 * (s[y == 1] < c).mean()
+    assert wrong(m.threshold) <= min(map(wrong, s)) + 0.01
+    assert ((m.scores(x) >= 0.3) == (s >= m.threshold)).all()
+
+
+def test_threshold_is_a_quantile_of_all_documents(spark, documents, small):
+    """The quantiles come from every document's score, not from the sample's."""
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    model = quality_classifier.train(documents, labels)
+    texts = [r.text for r in documents.collect()]
+    s = np.concatenate([model.raw(quality_classifier.features(p)) for p in pieces(pa.array(texts))])
+    edges = np.sort(s)[::7]
+    got = quality_classifier.corpus_quantiles(documents, model, edges)
+    want = [edges[min(sum(e < edge_at for e in edges), len(edges) - 1)] for edge_at in (sorted(s)[max(int(np.ceil(q * len(s))) - 1, 0)] for q in quality_classifier.LEVELS)]
+    assert np.allclose(got, want)
+
+
+def plain_spectrum(text):
+    """Places of the n-grams of a text, from its bytes."""
+    out, raw = set(), text.lower().encode()
+    letter = lambda b: 97 <= b <= 122 or b >= 128
+    for n in language_id.LENGTHS:
+        for k in range(len(raw) - n + 1):
+            if letter(raw[k]) or (n > 1 and letter(raw[k + 1])):
+                code = 0
+                for b in raw[k : k + n]:
+                    code = (code * 257 + (b if letter(b) else 0)) % (1 << 32)
+                out.add(int(language_id.mix(np.array([code + (n << 40)], np.uint64))[0]) % language_id.BUCKETS)
+    return out
+
+
+def test_language_against_plain_kernel(spark, documents):
+    """Predictions equal those of plain sets, their kernel with the landmarks, and the weights; with every text a landmark, exact kernel ridge regression."""
+    rows = documents.filter("length(text) < 1500").limit(60).collect()
+    sets = [plain_spectrum(r.text) for r in rows]
+    present = np.concatenate([p for _, _, p in language_id.spectra(pa.array([r.text for r in rows]))])
+    assert [set(np.flatnonzero(p).tolist()) for p in present] == sets
+    kernel = np.array([[len(a & b) / max(np.sqrt(len(a) * len(b)), 1) for b in sets] for a in sets])
+    langs, ridge = [r.lang for r in rows], 0.1
+    names = sorted(set(langs))
+    model = language_id.fit(present, langs, 1000, ridge)
+    share = np.diag([1 / langs.count(x) for x in langs])
+    target = np.array([[1.0 if y == x else -1.0 for x in names] for y in langs])
+    exact = kernel @ np.linalg.solve(share @ kernel + ridge * np.eye(len(rows)), share @ target)
+    assert np.allclose(model.scores(present), exact, atol=0.02)
+    few = language_id.fit(present, langs, 12, ridge)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(spark.createDataFrame(rows), few).collect()}
+    marks = [set(np.flatnonzero(m).tolist()) for m in few.landmarks.T]
+    s = np.array([[len(a & b) / max(np.sqrt(len(a) * len(b)), 1) for b in marks] for a in sets]) @ few.weights
+    for r, values in zip(rows, s, strict=True):
+        assert got[r.doc_id][0] == names[values.argmax()]
+        assert abs(got[r.doc_id][1] - 1 / np.exp(6 * (values - values.max())).sum()) < 1e-3
+
+
+def test_very_long_texts(spark, documents, small):
+    """Texts of millions of characters are one document to every classifier."""
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    base = documents.filter("lang = 'en'").orderBy("doc_id").first().text
+    df = spark.createDataFrame([(1, base * (2_000_000 // len(base))), (2, base)], "doc_id long, text string")
+    for module, label in ((toxicity, "toxic"), (quality_classifier, "quality")):
+        rows = module.score(df, module.train(documents, labels, label)).collect()
+        assert len(rows) == 2 and all(0 <= r.score <= 1 for r in rows)
+    assert {r.lang_pred for r in language_id.predict(df, language_id.train(documents)).collect()} == {"en"}
+
+
 def test_sample_is_bounded(spark):
     labels = spark.range(20_000).selectExpr("id as doc_id", "cast(id % 10 = 0 as int) as label")
     counts = {r.label: r["count"] for r in sample_labels(labels, "label", 500).groupBy("label").count().collect()}
