@@ -28,6 +28,9 @@ MARK = "▁"
 #: Units that a worker remembers, and characters of new units that are indexed at once.
 REMEMBER, INDEX = 1_000_000, 1 << 18
 
+#: Characters of a long unit that are relaxed by themselves, and more of them that the next part begins with.
+WINDOW, OVERLAP = 2048, 256
+
 #: Bytes of text encoded at once.
 BATCH = 1 << 20
 
@@ -90,9 +93,8 @@ class Coder:
             learned = np.unique(keys[new])
             texts = ((self.pieces[k // len(self.pieces)], self.pieces[k % len(self.pieces)]) for k in learned.tolist())
             right = np.array([self._stable(a, b) for a, b in texts], bool)
-            keys_all = np.concatenate([self.pair_keys, learned])
-            order = np.argsort(keys_all)
-            self.pair_keys, self.pair_stable = keys_all[order], np.concatenate([self.pair_stable, right])[order]
+            where = np.searchsorted(self.pair_keys, learned)
+            self.pair_keys, self.pair_stable = np.insert(self.pair_keys, where, learned), np.insert(self.pair_stable, where, right)
             at = np.searchsorted(self.pair_keys, keys)
         if not len(self.pair_keys):
             return free
@@ -129,8 +131,8 @@ class Coder:
         at = order[concat_ranges(lo, count)]
         return at, at + np.repeat(length, count), np.repeat(ids, count)
 
-    def _learn(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Encodes units together: their ids, one unit after the other, and how many each has."""
+    def _paths(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The path of each unit, all together, in order: unit, begin in the unit, piece (or -1), and the character there."""
         joined = "\0".join(units) + "\0"  # no piece holds the separator
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.array([len(u) for u in units])
@@ -160,18 +162,63 @@ class Coder:
         live = at > first
         while live.any():
             at, owner = at[live], owner[live]
-            walked.append((owner, came[at], at, last[at]))
+            walked.append((owner, came[at], last[at]))
             at = came[at]
             live = at > first[owner]
-        if walked:
-            owner, begin, end, piece = (np.concatenate(x) for x in zip(*walked))
-            order = np.lexsort((begin, owner))
-            owner, begin, piece = owner[order], begin[order], piece[order]
-        else:
-            owner = begin = piece = np.zeros(0, np.int64)
+        if not walked:
+            return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint32))
+        owner, begin, piece = (np.concatenate(x) for x in zip(*walked))
+        order = np.lexsort((begin, owner))
+        owner, begin, piece = owner[order], begin[order], piece[order]
+        return owner, begin - first[owner], piece, codes[begin]
+
+    def _long(self, unit: str) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces and their characters of a long unit, from overlapping windows of it.
+
+        A path in which all neighbours are stable is the only one. So where two windows' paths meet at a
+        position, with stable pieces on either side, the one may go on as the other. A unit in which
+        they meet nowhere is encoded in one go.
+        """
+        starts = list(range(0, max(len(unit) - OVERLAP, 1), WINDOW))
+        windows = [unit[a : a + WINDOW + OVERLAP] for a in starts]
+        paths, step = [], max(1, INDEX // (WINDOW + OVERLAP))
+        for lo in range(0, len(windows), step):
+            owner, begin, piece, code = self._paths(windows[lo : lo + step])
+            cuts = np.searchsorted(owner, np.arange(len(windows[lo : lo + step]) + 1))
+            paths += [(begin[a:b] + starts[lo + k], piece[a:b], code[a:b]) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
+        out, from_ = [], 0
+        for k, (begin, piece, code) in enumerate(paths):
+            if k + 1 < len(paths):
+                begin2, piece2, _ = paths[k + 1]
+                _, x, y = np.intersect1d(begin, begin2, assume_unique=True, return_indices=True)
+                ok = (x > 0) & (begin[x] > from_)
+                x, y = x[ok], y[ok]
+                ok = np.flatnonzero(self.stable(piece[x - 1], piece2[y]))
+                if not len(ok):
+                    _, _, piece, code = self._paths([unit])
+                    return piece, code
+                to = begin[x[ok[0]]]
+            else:
+                to = len(unit)
+            keep = (begin >= from_) & (begin < to)
+            out.append((piece[keep], code[keep]))
+            from_ = to
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def _learn(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes units together: their ids, one unit after the other, and how many each has."""
+        short = [k for k, u in enumerate(units) if len(u) <= WINDOW + OVERLAP]
+        owner, _, piece, code = self._paths([units[k] for k in short]) if short else (np.zeros(0, np.int64), None, np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        owner = np.array(short, np.int64)[owner]
+        for k, u in enumerate(units):
+            if len(u) > WINDOW + OVERLAP:
+                piece2, code2 = self._long(u)
+                owner, piece, code = np.append(owner, np.full(len(piece2), k)), np.append(piece, piece2), np.append(code, code2)
+        order = np.argsort(owner, kind="stable")
+        owner, piece, code = owner[order], piece[order], code[order]
         odd = np.flatnonzero(piece < 0)
         if len(odd):  # characters without a piece become the pieces of their bytes
-            raw = [chr(codes[p]).encode("utf-8", "surrogatepass") for p in begin[odd].tolist()]
+            raw = [chr(c).encode("utf-8", "surrogatepass") for c in code[odd].tolist()]
             times = np.ones(len(piece), np.int64)
             times[odd] = [len(r) for r in raw]
             where = np.repeat(piece < 0, times)

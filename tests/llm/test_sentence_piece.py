@@ -44,6 +44,23 @@ def test_same_as_library(library, coder):
         assert coder.decode(ids[a:b]) == library.decode(want)
 
 
+def test_long_units(library, coder, monkeypatch):
+    """Words much longer than a window equal the library's; so do those whose windows meet nowhere."""
+    rng = random.Random(8)
+    letters = "abcdeehinorst漢é"
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (2304, 2305, 5000, 60_000)]
+    texts += ["a" * 9000, "ab" * 5000, "x" * 2303 + "yz" * 3000, "\U0001f389" * 6000, " " * 7000, "begin " + "".join(rng.choice(coder.pieces[300:]).replace("▁", "") for _ in range(4000)) + " end"]
+    for window in (sentence_piece.WINDOW, 50):
+        monkeypatch.setattr(sentence_piece, "WINDOW", window)
+        monkeypatch.setattr(sentence_piece, "OVERLAP", min(window, 256))
+        coder.units.clear()
+        for p in pieces(pa.array(texts), 1 << 20):
+            ids, size = coder.encode(p)
+            for t, a, b in zip(texts[p.lo : p.hi], np.cumsum(size) - size, np.cumsum(size), strict=True):
+                assert ids[a:b].tolist() == library.encode(t), t[:40]
+    coder.units.clear()
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for size, kinds in ((1, 1), (50, 2), (3000, 3), (3000, 500)):
