@@ -154,8 +154,8 @@ def similar(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> n
     return 100 * common >= percent * (a + b - common)
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, spec: MinHash, store: Store) -> DataFrame:
-    """Of distinct pairs (u, v) those that are similar: by their signatures first, then on the full sets."""
+def confirm(pairs: DataFrame, classes: DataFrame | None, sets: DataFrame, spec: MinHash, store: Store) -> DataFrame:
+    """Of distinct pairs (u, v) those that are similar: by their signatures in `classes` first, if these are given, then on the full sets."""
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,14 +174,13 @@ def confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, spec: MinHash
                     keep[k] = similar(np.int64(len(np.intersect1d(a, b, assume_unique=True))), len(a), len(b), spec.percent)
             yield pa.RecordBatch.from_arrays([u.filter(pa.array(keep)), v.filter(pa.array(keep))], names=["u", "v"])
 
-    rows = pairs.count()
-    signed = with_side(with_side(pairs, "u", classes, "sig", rows), "v", classes, "sig", rows)
-    close = store.put(bounded_batches(signed).select("u", "v", "sig_u", "sig_v").mapInArrow(agree, "u long, v long").distinct(), "close")
-    rows = close.count()
+    rows, close = pairs.count(), pairs
+    if classes is not None:
+        signed = with_side(with_side(pairs, "u", classes, "sig", rows), "v", classes, "sig", rows)
+        close = store.put(bounded_batches(signed).select("u", "v", "sig_u", "sig_v").mapInArrow(agree, "u long, v long").distinct(), "close")
+        rows = close.count()
     both = with_side(with_side(close, "u", sets, "shingles", rows), "v", sets, "shingles", rows)
-    links = store.put(bounded_batches(both).select("u", "v", "shingles_u", "shingles_v").mapInArrow(verify, "u long, v long"), "links")
-    store.free(close)
-    return links
+    return store.put(bounded_batches(both).select("u", "v", "shingles_u", "shingles_v").mapInArrow(verify, "u long, v long"), "links")
 
 
 def place_counts(sets: DataFrame) -> np.ndarray:
@@ -355,7 +354,7 @@ def near_duplicates(docs: DataFrame, spec: MinHash | None = None) -> DataFrame:
         open_rows = join_split(labelled, unsettled, "bucket", "n", rows)
         if last is not None and rows > SETTLED * last:  # the rest by an exact join
             rest = store.put(open_rows.select("node", "comp").distinct(), "rest")
-            links = links.unionByName(confirm(rare_pairs(rest.join(sets, "node"), spec, store), classes, sets, spec, store))
+            links = links.unionByName(confirm(rare_pairs(rest.join(sets, "node"), spec, store), None, sets, spec, store))  # few of which signatures would tell apart
             known = store.put(components(links, store), "known")
             break
         last = rows
