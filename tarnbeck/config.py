@@ -45,8 +45,8 @@ class Config:
     def from_file(cls, path: str | Path) -> Config:
         text = Path(path).read_text()
         if str(path).endswith((".yml", ".yaml")):
-            return cls().with_values(**_flat_yaml(text))
-        return cls().with_values(**json.loads(text))
+            return cls().with_values(**_yaml(text))
+        return cls().with_values(**_flat(json.loads(text)))
 
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None) -> Config:
@@ -64,6 +64,14 @@ class Config:
                 out[key] = str(value)
         return out
 
+    def tuned(self, input_bytes: int, cores: int, partition_bytes: int = 128 << 20) -> Config:
+        """With partition counts and sizes for an input: shuffled partitions of about partition_bytes, three for each core at least, and scans that keep all cores busy."""
+        if input_bytes < 0 or cores < 1:
+            raise EngineError("config", "input_bytes must not be negative, and cores at least 1")
+        shuffled = max(3 * cores, -(-input_bytes // partition_bytes))
+        scanned = min(partition_bytes, max(4 << 20, input_bytes // (2 * cores)))
+        return self.with_values(shuffle_partitions=shuffled, max_partition_bytes=scanned)
+
     def apply(self, spark: SparkSession) -> SparkSession:
         for key, value in self.spark_conf().items():
             spark.conf.set(key, value)
@@ -84,14 +92,27 @@ def _parse(text: str):
     return text.strip("'\"")
 
 
-def _flat_yaml(text: str) -> dict:
-    """`name: value` lines; comments and blank lines are skipped."""
+def _flat(values: dict) -> dict:
+    """Settings of nested sections, by their own names; sections only group them."""
     out = {}
-    for line in text.splitlines():
-        line = line.split("#", 1)[0].strip()
-        if line:
-            name, colon, value = line.partition(":")
+    for name, value in values.items():
+        out |= _flat(value) if isinstance(value, dict) else {name: value}
+    return out
+
+
+def _yaml(text: str) -> dict:
+    """`name: value` lines, in sections by indentation or not; a name without a value that is followed by deeper lines is a section. Comments and blank lines are skipped."""
+    lines = []
+    for raw in text.splitlines():
+        line = raw.split("#", 1)[0].rstrip()
+        if line.strip():
+            name, colon, value = line.strip().partition(":")
             if not colon:
-                raise EngineError("config", f"not a setting: {line}")
-            out[name.strip()] = _parse(value)
+                raise EngineError("config", f"not a setting: {line.strip()}")
+            lines.append((len(line) - len(line.lstrip()), name.strip(), value.strip()))
+    out = {}
+    for k, (depth, name, value) in enumerate(lines):
+        section = not value and k + 1 < len(lines) and lines[k + 1][0] > depth
+        if not section:
+            out[name] = _parse(value)
     return out

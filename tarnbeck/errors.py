@@ -11,8 +11,24 @@ class EngineError(Exception):
 
     def __init__(self, operation: str, message: str, column: str | None = None, hint: str | None = None):
         self.operation, self.column, self.hint = operation, column, hint
+        self.message = message
         super().__init__(f"{operation}: {message}" + (f" (column {column!r})" if column else "") + (f"; {hint}" if hint else ""))
 
+    def describe(self, level: str = "normal") -> str:
+        """brief: the message; normal: with operation, column and hint; full: on lines of their own, with the causes."""
+        if level == "brief":
+            return self.message
+        if level == "normal":
+            return str(self)
+        if level != "full":
+            raise ValueError("brief, normal or full")
+        lines = [f"operation: {self.operation}", f"message: {self.message}", *([f"column: {self.column}"] if self.column else []), *([f"hint: {self.hint}"] if self.hint else [])]
+        cause = self.__cause__
+        while cause is not None:
+            lines.append(f"cause: {type(cause).__name__}: {cause}")
+            cause = cause.__cause__
+        return "\n".join(lines)
+
 
 def suggest(name: str, known: Iterable[str], most: int = 3) -> list[str]:
     known = list(known)

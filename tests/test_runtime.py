@@ -146,3 +146,40 @@ def test_entry_without_packages_of_the_subpackage():
 
     code = "import sys; sys.modules['zstandard'] = sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; assert 'flagship' in e.queries() and not any(n.startswith('op1') for n in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
+
+
+def test_nested_settings(tmp_path):
+    yaml, nested = tmp_path / "a.yaml", tmp_path / "b.json"
+    yaml.write_text("execution:\n  shuffle_partitions: 12  # some\n  memory:\n    memory_fraction: 0.5\nansi: false\ntime_zone: 'Europe/Oslo'\nbroadcast_bytes:\n")
+    nested.write_text('{"execution": {"shuffle_partitions": 12, "memory": {"memory_fraction": 0.5}}, "ansi": false, "time_zone": "Europe/Oslo"}')
+    assert Config.from_file(yaml) == Config.from_file(nested) == Config(shuffle_partitions=12, memory_fraction=0.5, ansi=False, time_zone="Europe/Oslo")
+    with pytest.raises(EngineError):
+        yaml.write_text("a:\n  nothing: 1\n")
+        Config.from_file(yaml)
+    tuned = Config().tuned(100 << 30, 64)
+    assert tuned.shuffle_partitions == 800 and tuned.max_partition_bytes == 128 << 20
+    assert Config().tuned(0, 8).shuffle_partitions == 24 and Config().tuned(1 << 20, 8).max_partition_bytes == 4 << 20
+    with pytest.raises(EngineError):
+        Config().tuned(-1, 8)
+
+
+def test_suite_and_plan(spark):
+    from tarnbeck.metrics import Suite, plan_of
+
+    calls, suite = [], Suite()
+    suite.add("one", lambda: calls.append(1))
+    assert len(suite.run(2)["one"]) == 2 and len(calls) == 3 and "| one | 2 |" in suite.report() and '"one"' in suite.to_json()
+    df = spark.range(10).filter("id > 3").groupBy("id").count()
+    assert any("Aggregate" in n["class"] for n in plan_of(df)) and any("Exec" in n["class"] for n in plan_of(df, physical=True))
+
+
+def test_describe():
+    try:
+        try:
+            raise KeyError("x")
+        except KeyError as e:
+            raise EngineError("select", "no such column", "agee", "did you mean age?") from e
+    except EngineError as e:
+        assert e.describe("brief") == "no such column" and "agee" in e.describe() and e.describe("full").splitlines()[-1].startswith("cause: KeyError")
+        with pytest.raises(ValueError):
+            e.describe("loud")
