@@ -99,7 +99,9 @@ def test_command_line(spark, capsys, monkeypatch):
 
     monkeypatch.setattr(cli, "get_spark", lambda **k: spark)
     cli.main(["demo", "--rows", "50"])
-    assert "Engineering" in capsys.readouterr().out
+    out = capsys.readouterr().out.splitlines()  # the demo's own gauges, each with its mean and count
+    groups = [line.split() for line in out if line.startswith("g") and line[1:2].isdigit()]
+    assert out[0].endswith("rows after the filter") and sum(int(n) for _, _, n in groups) == 50 and {g for g, _, _ in groups} <= {f"g{k}" for k in range(12)}
 
 
 @pytest.mark.parametrize("seed", range(5))
