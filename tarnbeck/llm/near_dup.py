@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from tarnbeck.llm.splits import join_split, with_side
+from tarnbeck.llm.splits import join_split, sizes, with_side
 from tarnbeck.llm.store import Store
 from tarnbeck.llm.text import Piece, bounded_batches, grams, mix, pieces, words
 
@@ -242,8 +242,7 @@ def rare_pairs(sets: DataFrame, spec: MinHash, store: Store) -> DataFrame:
     groups = found.groupBy("token").agg(F.count("*").alias("rows"), F.sum(F.col("leads").cast("long")).alias("leaders"), F.min("comp").alias("a"), F.max("comp").alias("b"))
     groups = groups.filter("rows > 1 and leaders > 0 and a != b").select("token", "rows", F.ceil(F.col("leaders") / BLOCK).cast("int").alias("i_blocks"), F.ceil(F.col("rows") / BLOCK).cast("int").alias("j_blocks"))
     groups = store.put(groups, "groups")
-    total = groups.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    split = store.put(join_split(found, groups, "token", "rows", total), "shared-prefixes")
+    split = store.put(join_split(found, groups, "token", "rows", *sizes(groups, "rows")), "shared-prefixes")
 
     def block(blocks: str):
         return F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
@@ -322,14 +321,12 @@ def near_duplicates(docs: DataFrame, spec: MinHash | None = None) -> DataFrame:
     # doc_ids with several texts link these
     ids = named.groupBy("doc_id").agg(F.min("h1").alias("u"), F.max("h1").alias("last"), F.count("*").alias("texts")).filter("u != last")
     ids = store.put(ids, "repeated-ids")
-    texts_of_ids = ids.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
-    same_id = join_split(named.select("doc_id", F.col("h1").alias("v")), ids, "doc_id", "texts", texts_of_ids).select("u", "v").filter("u != v").distinct()
+    same_id = join_split(named.select("doc_id", F.col("h1").alias("v")), ids, "doc_id", "texts", *sizes(ids, "texts")).select("u", "v").filter("u != v").distinct()
     same_id = store.put(same_id, "same-id")
 
     banded = classes.select("node", F.explode("bands").alias("bucket"))
     buckets = store.put(banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1"), "buckets")
-    rows = buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    members = store.put(join_split(banded, buckets, "bucket", "n", rows), "members")
+    members = store.put(join_split(banded, buckets, "bucket", "n", *sizes(buckets, "n")), "members")
     stars = store.put(members.filter("node != pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct(), "stars")
 
     involved = members.select("node").distinct().join(classes.select("node", "label"), "node").select("label").distinct()
@@ -348,10 +345,10 @@ def near_duplicates(docs: DataFrame, spec: MinHash | None = None) -> DataFrame:
         chosen = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp")))
         unsettled = labelled.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n"), chosen.alias("star")).filter("a != b")
         unsettled = store.put(unsettled.select("bucket", "n", "star.pivot", "star.pivot_comp"), "unsettled")
-        rows = unsettled.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        rows, largest = sizes(unsettled, "n")
         if not rows:
             break
-        open_rows = join_split(labelled, unsettled, "bucket", "n", rows)
+        open_rows = join_split(labelled, unsettled, "bucket", "n", rows, largest)
         if last is not None and rows > SETTLED * last:  # the rest by an exact join
             rest = store.put(open_rows.select("node", "comp").distinct(), "rest")
             links = links.unionByName(confirm(rare_pairs(rest.join(sets, "node"), spec, store), None, sets, spec, store))  # few of which signatures would tell apart
@@ -364,12 +361,12 @@ def near_duplicates(docs: DataFrame, spec: MinHash | None = None) -> DataFrame:
 
     # a component's smallest doc_id, then that of each class, then of each document
     placed = store.put(known.join(classes.select("node", "label"), "node"), "placed")
-    roots = placed.groupBy("comp").agg(F.min("label").alias("root"), F.count("*").alias("n"))
-    rooted = join_split(placed, roots, "comp", "n", placed.count()).select("node", "root").distinct()
+    roots = store.put(placed.groupBy("comp").agg(F.min("label").alias("root"), F.count("*").alias("n")), "roots")
+    rooted = join_split(placed, roots, "comp", "n", *sizes(roots, "n")).select("node", "root").distinct()
     rooted = store.put(classes.select(*key, "node", "label", "copies").join(rooted, "node", "left").select(*key, "copies", F.coalesce("root", "label").alias("root")), "rooted")
     store.free_but(feat, rooted)
     name = F.struct(*key)
-    known_docs = join_split(named.select("doc_id", name.alias("name")), rooted.select(name.alias("name"), "copies", "root"), "name", "copies", named.count())
+    known_docs = join_split(named.select("doc_id", name.alias("name")), rooted.select(name.alias("name"), "copies", "root"), "name", "copies", *sizes(rooted, "copies"))
     known_docs = known_docs.select("doc_id", F.col("name.n_shingles").alias("n_shingles"), F.col("root").alias("component_id"))
     alone = feat.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = known_docs.unionByName(alone)

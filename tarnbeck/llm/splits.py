@@ -14,13 +14,20 @@ def many(rows: int) -> int:
     return max(HOT, rows // KEYS)
 
 
-def join_split(left: DataFrame, right: DataFrame, key: str, size: str, rows: int) -> DataFrame:
-    """left joined with right, which has one row a key, and in `size` how many rows of left that key has; rows: those of left.
+def sizes(right: DataFrame, size: str) -> tuple[int, int]:
+    """The sum of a table's sizes, and the largest of them; 0 if it is empty."""
+    return tuple(right.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first())
+
+
+def join_split(left: DataFrame, right: DataFrame, key: str, size: str, rows: int, largest: int | None = None) -> DataFrame:
+    """left joined with right, which has one row a key, and in `size` how many rows of left that key has; rows: those of left; largest: those of the key with most, if known.
 
     The rows of left whose key has many of them, fewer than KEYS keys, meet theirs by broadcast and are
     never dealt out by key; all others are. Rows without a partner are left out, as are null keys.
     """
     most = many(rows)
+    if largest is not None and largest <= most:  # nothing to split
+        return left.join(right, key)
     hot = right.filter(F.col(size) > most)
     cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.filter(F.col(size) <= most), key)
     return left.join(F.broadcast(hot), key).unionByName(cold)
