@@ -36,6 +36,8 @@ from tarnbeck.llm.text import Piece, bounded_batches, grams, mix, pieces, words
 
 #: Rows of a shingle on either side that one task pairs.
 BLOCK = 4096
+#: Columns of the parities of a set: whether an even or odd number of its shingles falls in each of 256 places.
+PARITIES = ("b0", "b1", "b2", "b3")
 #: Places that shingles are counted in to tell the rare ones; the counts are broadcast.
 PLACES = 1 << 18
 #: Share of unsettled rows that a turn of stars may leave for another turn to be worth it.
@@ -201,7 +203,7 @@ def place_counts(sets: DataFrame) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, spec: MinHash) -> DataFrame:
-    """node, comp, n (size of the set), token, at: the rarest shingles of each set, of which similar sets must share one, and their place from the rarest on.
+    """node, comp, n (size of the set), b0 to b3 (its parities), token, at: the rarest shingles of each set, of which similar sets must share one, and their place from the rarest on.
 
     Rare is what falls in a place with a low count. Any one order of all shingles gives the same links;
     this one keeps the groups small.
@@ -211,9 +213,10 @@ def prefixes(sets: DataFrame, spec: MinHash) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
         for batch in batches:
-            token, at, size = [], [], []
-            for s in batch.column(2):
+            token, at, size, parity = [], [], [], np.zeros((batch.num_rows, 256), np.uint8)
+            for row, s in enumerate(batch.column(2)):
                 x = np.frombuffer(s.as_buffer(), np.uint64)
+                parity[row] = np.bincount((x >> np.uint64(40) & np.uint64(255)).astype(np.int64), minlength=256) & 1
                 order = np.lexsort((x, counts[(x & np.uint64(PLACES - 1)).astype(np.int64)]))
                 n = len(x) + spec.percent * len(x) // -100 + 1  # a pair has at least percent of either set in common
                 token.append(x[order[:n]])
@@ -222,9 +225,12 @@ def prefixes(sets: DataFrame, spec: MinHash) -> DataFrame:
             rows = np.repeat(np.arange(batch.num_rows), size)
             n = np.array([len(s.as_buffer()) // 8 for s in batch.column(2)], np.int64)
             flat = [np.concatenate([*x, np.zeros(0, t)]) for x, t in ((token, np.uint64), (at, np.int64))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in (0, 1)), pa.array(n[rows]), _u64(flat[0]), pa.array(flat[1])], names=["node", "comp", "n", "token", "at"])
+            bits = np.ascontiguousarray(np.packbits(parity, axis=1)).view(np.int64).reshape(batch.num_rows, 4)[rows]
+            cols = [*(batch.column(c).take(pa.array(rows)) for c in (0, 1)), pa.array(n[rows]), *(pa.array(np.ascontiguousarray(b)) for b in bits.T), _u64(flat[0]), pa.array(flat[1])]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "comp", "n", *PARITIES, "token", "at"])
 
-    return bounded_batches(sets).select("node", "comp", "shingles").mapInArrow(run, "node long, comp long, n long, token long, at long")
+    shape = "node long, comp long, n long, " + ", ".join(f"{b} long" for b in PARITIES) + ", token long, at long"
+    return bounded_batches(sets).select("node", "comp", "shingles").mapInArrow(run, shape)
 
 
 def rare_pairs(sets: DataFrame, spec: MinHash, store: Store) -> DataFrame:
@@ -233,7 +239,8 @@ def rare_pairs(sets: DataFrame, spec: MinHash, store: Store) -> DataFrame:
     Of two similar sets of sizes x <= y, the rarest shingle that both have leaves each at least
     percent / (100 + percent) * (x + y) shingles from there on. So the smaller set must have it near its
     front: such rows are leaders, and a shingle without one makes no pair. The rows of a shingle are
-    dealt out in blocks, leaders by rows, so a task pairs BLOCK with BLOCK at most.
+    dealt out in blocks, leaders by rows, so a task pairs BLOCK with BLOCK at most. Two sets differ in at
+    least as many shingles as their parities, so these leave out most pairs that are not similar.
     """
     t = F.lit(spec.percent)
     rest = F.col("n") - F.col("at")
@@ -250,12 +257,14 @@ def rare_pairs(sets: DataFrame, spec: MinHash, store: Store) -> DataFrame:
     def every(blocks: str):
         return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
 
-    side = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("node", "comp", "n", "at")]
+    side = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("node", "comp", "n", "at", *PARITIES)]
     x = split.filter("leads").withColumn("i", block("i_blocks")).withColumn("j", every("j_blocks")).select("token", "i", "j", *side("x"))
     y = split.withColumn("j", block("j_blocks")).withColumn("i", every("i_blocks")).select("token", "i", "j", *side("y"))
     least = t * (F.col("n_x") + F.col("n_y"))
     fits = (F.col("comp_x") != F.col("comp_y")) & (F.col("n_x") <= F.col("n_y")) & (100 * F.col("n_x") >= t * F.col("n_y"))
     fits &= ((F.col("n_x") - F.col("at_x")) * (100 + t) >= least) & ((F.col("n_y") - F.col("at_y")) * (100 + t) >= least)
+    differ = sum((F.bit_count(F.col(f"{b}_x").bitwiseXOR(F.col(f"{b}_y"))) for b in PARITIES[1:]), F.bit_count(F.col("b0_x").bitwiseXOR(F.col("b0_y"))))
+    fits &= (F.col("n_x") + F.col("n_y") - differ) * (100 + t) >= 2 * least
     pairs = x.join(y, ["token", "i", "j"]).filter(fits).select(F.least("node_x", "node_y").alias("u"), F.greatest("node_x", "node_y").alias("v")).distinct()
     pairs = store.put(pairs, "rare-pairs")
     store.free(found, groups, split)
