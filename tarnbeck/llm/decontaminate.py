@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tarnbeck.llm.text import Hasher, bounded_batches, grams, keep_rows, pieces, spans
 
