@@ -98,6 +98,22 @@ def test_toxic_words_are_found(spark, documents):
     assert s[1] < 0.7 <= s[2]
 
 
+def test_a_language_with_a_larger_share_of_a_class(spark):
+    """Of the toxic documents 7 in 20 are in a language that 1 in 4 of the others is in: its ordinary documents are left alone, and toxic words are found in both."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(3000):
+        toxic = int(k % 5 == 0)
+        lang = "ab"[int(rng.random() < (0.35 if toxic else 0.25))]
+        text = [f"{lang}{n}" for n in np.minimum(rng.geometric(0.04, int(rng.integers(60, 140))), 120)]
+        rows.append((k, " ".join([*text, *(["vile", "scum"] if toxic else [])]), toxic, lang, k % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, lang string, held int").repartition(4)
+    model = toxicity.train(docs, docs.filter("held = 0"))
+    found = toxicity.score(docs, model).join(docs, "doc_id").filter("held = 1").toPandas()
+    flagged = (found.score >= 0.7).groupby([found.toxic, found.lang]).mean()
+    assert flagged[0].max() < 0.01 and flagged[1].min() > 0.99
+
+
 def counted(texts, slack=toxicity.SLACK):
     """Kneser-Ney of lists of words, counted plainly: a function to the probability of a word after another. The sample is all there is, or `everything`."""
 
