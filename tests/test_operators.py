@@ -61,6 +61,27 @@ def test_joins(sides, how, n, strategy):
     assert out.columns == ["id", "name"] + ([] if how in ("semi", "anti") else ["order_id", "user_id", "amount"])
 
 
+def test_broadcast_only_of_a_small_side(spark, tmp_path):
+    """A side that is large, or has many rows in small files, is not sent through the driver because a broadcast was asked for; a small one is, whatever the session's own bound."""
+    spark.range(600_000).select(F.lit(7).cast("bigint").alias("b"), F.lit("x").alias("c")).write.parquet(str(tmp_path / "packed"))
+    sides = {n: (spark.range(2_000_000), spark.range(n).select((F.col("id") * 2).alias("b"))) for n in (1_500_000, 1000)} | {"packed": (spark.range(10), spark.read.parquet(str(tmp_path / "packed")))}
+    joined = lambda n: op.join(*sides[n], "id", "b", strategy="broadcast")
+    plan = lambda n: joined(n)._jdf.queryExecution().executedPlan().toString()
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for own in (bound, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
+        try:
+            assert "Broadcast" not in plan(1_500_000) and "Broadcast" not in plan("packed")
+            assert "BroadcastHashJoin" in plan(1000)
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    for n, found in ((1_500_000, 1_000_000), (1000, 1000)):
+        assert tuple(joined(n).agg(F.count("*"), F.sum("id"), F.sum("b")).first()) == (found, found * (found - 1), found * (found - 1))
+    assert tuple(joined("packed").agg(F.count("*"), F.sum("id"), F.min("c")).first()) == (600_000, 4_200_000, "x")
+    stream = spark.readStream.format("rate").load()
+    assert op.join(stream, stream, "value", strategy="broadcast").isStreaming
+
+
 def test_join_names_and_errors(spark, sides):
     users, orders = sides
     twin = op.join(users, users, "id")
