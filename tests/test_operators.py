@@ -82,6 +82,16 @@ def test_broadcast_only_of_a_small_side(spark, tmp_path):
     assert op.join(stream, stream, "value", strategy="broadcast").isStreaming
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full", "semi", "anti"])
+def test_broadcast_gives_the_rows_of_merge(spark, how):
+    """On sides of known size, which those of literal rows are not, with null keys, twins and keys without a partner."""
+    left, right = (spark.range(n).select("id", F.nullif(F.col("id") % m, F.lit(k)).alias("k")) for n, m, k in ((40, 13, 3), (30, 17, 5)))
+    broadcast, merge = (op.join(left, right, "k", how=how, strategy=s) for s in ("broadcast", "merge"))
+    if how not in ("right", "full"):  # where Spark cannot build the right side
+        assert "BroadcastHashJoin" in broadcast._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, broadcast.collect())) == sorted(map(str, merge.collect()))
+
+
 def test_join_names_and_errors(spark, sides):
     users, orders = sides
     twin = op.join(users, users, "id")
